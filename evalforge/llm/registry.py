@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "toxicity", "quality")
+MODULES = ("mixing", "quality", "toxicity", "simhash")
 
 
 def _all(name: str) -> dict:
