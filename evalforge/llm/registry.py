@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "toxicity", "simhash")
+MODULES = ("mixing", "quality", "packing", "toxicity", "simhash")
 
 
 def _all(name: str) -> dict:
