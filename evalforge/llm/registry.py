@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "fingerprint", "packing", "toxicity", "simhash")
+MODULES = ("mixing", "quality", "fingerprint", "rules", "packing", "toxicity", "simhash")
 
 
 def _all(name: str) -> dict:
