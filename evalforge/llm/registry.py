@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "fingerprint", "rules", "packing", "extract", "toxicity", "simhash", "chat")
+MODULES = ("mixing", "quality", "fingerprint", "rules", "packing", "extract", "toxicity", "lm", "simhash", "chat")
 
 
 def _all(name: str) -> dict:
