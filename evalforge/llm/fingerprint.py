@@ -15,6 +15,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,7 +161,8 @@ def edits(docs: DataFrame) -> DataFrame:
                 else:
                     cur = (doc, text, v, p)
             if out:
-                yield arrow(**dict(zip(("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), zip(*out, strict=True), strict=True)))
+                ids, *rest = zip(*out, strict=True)
+                yield arrow(doc_id=pa.array(ids, pa.int64()), **dict(zip(("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), rest, strict=True)))
                 out = []
 
     return _order(docs, parts).mapInArrow(step, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -18,6 +18,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -220,7 +221,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                 if ids:
                     parts.append(piece.astype(np.int32))
             cols = list(zip(*got, strict=True))
-            out = {"doc_id": [held_id[d] for d in cols[0]], "start": cols[1], "length": cols[2], "ids_crc32": crc, "doc_tokens": [len(held[d]) for d in cols[0]], "sequence_id": [base + s for s in cols[3]], "offset": cols[4]}
+            out = {"doc_id": pa.array([held_id[d] for d in cols[0]], pa.int64()), "start": cols[1], "length": cols[2], "ids_crc32": crc, "doc_tokens": [len(held[d]) for d in cols[0]], "sequence_id": [base + s for s in cols[3]], "offset": cols[4]}
             base += max(cols[3]) + 1
             return arrow(**out, **({"ids": parts} if ids else {}))
 

@@ -17,6 +17,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,7 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size: int = LEXICON, prior: float = 0.5, least_odds: float = 2.0, chance_hits: float = 1.0, density: float = 0.1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size: int = LEXICON, prior: float = 0.5, least_odds: float = 3.0, chance_hits: float = 0.5, density: float = 0.1) -> Model:
     """Lexicon, extreme-value constants and calibration from at most ``rows`` labelled documents of each class.
 
     ``prior``: Dirichlet pseudo-count of each token.  A token enters the lexicon if its log-odds are at least
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size:
         scan = _scan(rest, lexicon)
         for part, texts in pieces(batches):
             got = [scan(x) for x in texts]
-            yield arrow(toxic=part.column(part.schema.get_field_index("toxic")), n=[len(a) for a, _ in got], s=[[x[2] for x in b] for _, b in got])
+            yield arrow(toxic=part.column(part.schema.get_field_index("toxic")), n=[len(a) for a, _ in got], s=pa.array([[x[2] for x in b] for _, b in got], pa.list_(pa.float64())))
 
     got = train.mapInArrow(stats, "toxic int, n long, s array<double>").collect()
     clean = [r for r in got if not r.toxic]
@@ -261,8 +262,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _with_spans(ids, scores, spans):
-    import pyarrow as pa
-
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     return arrow(doc_id=ids, score=scores, passages=pa.array(spans, kind))
 
