@@ -249,12 +249,12 @@ def dominance_counts(spark, sf):
     return pareto.dominance_counts(vec(spark, sf), "candidate_id")
 
 
-_E = "e AS (SELECT s_suppkey AS id, s_suppkey % 4 AS run, round(s_acctbal / 1000) AS v1, CAST((s_suppkey * 37) % 23 AS DOUBLE) AS v2, CAST((s_nationkey * 7 + s_suppkey) % 11 AS DOUBLE) AS v3 FROM supplier)"
+_E = "e AS (SELECT s_suppkey AS id, s_suppkey % 4 AS run, round(s_acctbal / 1000) + 0.0 AS v1, CAST((s_suppkey * 37) % 23 AS DOUBLE) AS v2, CAST((s_nationkey * 7 + s_suppkey) % 11 AS DOUBLE) AS v3 FROM supplier)"
 
 
 def _pool(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet")
-    return s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4).alias("run"), F.round(F.col("s_acctbal") / 1000).alias("v1"), ((F.col("s_suppkey") * 37) % 23).cast("double").alias("v2"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 11).cast("double").alias("v3"))
+    return s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4).alias("run"), (F.round(F.col("s_acctbal") / 1000) + 0.0).alias("v1"), ((F.col("s_suppkey") * 37) % 23).cast("double").alias("v2"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 11).cast("double").alias("v3"))
 
 
 _D3 = "(a.v1 >= b.v1 AND a.v2 >= b.v2 AND a.v3 >= b.v3 AND (a.v1 > b.v1 OR a.v2 > b.v2 OR a.v3 > b.v3))"

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from evalforge.plans import evaluation, ledgers, searching
+from evalforge.plans import evaluation, ledgers, reporting, searching
 
 SF = "/root/testdata/sf0.01"
-QUERIES, SQL = {**evaluation.QUERIES, **ledgers.QUERIES, **searching.QUERIES}, {**evaluation.SQL, **ledgers.SQL, **searching.SQL}
+QUERIES, SQL = {**evaluation.QUERIES, **ledgers.QUERIES, **reporting.QUERIES, **searching.QUERIES}, {**evaluation.SQL, **ledgers.SQL, **reporting.SQL, **searching.SQL}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
