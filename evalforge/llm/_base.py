@@ -39,14 +39,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_staged: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: columnar, for tables too large for ``cut``."""
+    """``df`` written as Parquet in the shared folder and read back: columnar, for tables too large for ``cut``.
+
+    The files stay until ``release``, for the result may be read again at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``staged`` wrote in this process; call it once results are written.  Returns their number."""
+    n = 0
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def pieces(batches, column: str = "text"):
     """Slices of Arrow batches that hold few enough rows to become Python objects, with the text column as a list."""
     for batch in batches:
