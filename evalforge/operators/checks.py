@@ -47,6 +47,7 @@ def declared_overlaps(tasks: DataFrame, splits: DataFrame) -> DataFrame:
     ``tasks``: (split_id, task_id); ``splits``: (split_id, disjoint_from array).
     """
     pairs = splits.select("split_id", F.explode("disjoint_from").alias("other_id"))
+    tasks = tasks.select("split_id", "task_id").distinct()  # a task's rows don't multiply in the join
     left = tasks.join(pairs, "split_id")
     right = tasks.select(F.col("split_id").alias("other_id"), "task_id")
     return left.join(right, ["other_id", "task_id"]).select("split_id", "other_id", "task_id").distinct()

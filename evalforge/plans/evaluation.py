@@ -92,6 +92,13 @@ def duplicate_keys(spark, sf):
     return checks.duplicates(o.unionByName(o.where("seed = 0")), ["task_id", "seed"])
 
 
+@query(f"WITH {outcomes_sql()} SELECT candidate_id, target_id, task_id, seed, 2 * count(*) AS n FROM o WHERE seed = 0 GROUP BY ALL")
+def duplicate_keys_all(spark, sf):
+    """Repeated keys of the whole ledger, all candidates and targets."""
+    o = outcomes(spark, sf).select(*KEY)
+    return checks.duplicates(o.unionByName(o.where("seed = 0")), KEY)
+
+
 @query(f"WITH {outcomes_sql()}, d AS (SELECT * FROM o WHERE NOT (target_id = 't1' AND task_id = 'k3')) SELECT candidate_id, target_id, count(DISTINCT (task_id, seed)) AS cells, count(*) AS rows, 120 AS wanted FROM d GROUP BY ALL HAVING count(*) <> 120")
 def unclosed_targets(spark, sf):
     """Candidates' targets that lack blocks."""
@@ -100,8 +107,17 @@ def unclosed_targets(spark, sf):
 
 @query("WITH t AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'a' WHEN l_orderkey % 3 = 1 THEN 'b' ELSE 'c' END AS split_id, CAST(l_partkey AS VARCHAR) AS task_id FROM lineitem WHERE l_partkey % 50 = 0) SELECT DISTINCT x.split_id, y.split_id AS other_id, x.task_id FROM t x JOIN t y USING (task_id) WHERE (x.split_id = 'a' AND y.split_id IN ('b', 'c')) OR (x.split_id = 'b' AND y.split_id = 'c')")
 def split_overlap(spark, sf):
-    """Tasks in two splits that are declared disjoint."""
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 50 = 0")
+    """Tasks in two splits that are declared disjoint, of every 50th part."""
+    return _overlaps(spark, spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 50 = 0"))
+
+
+@query("WITH t AS (SELECT DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN 'a' WHEN l_orderkey % 3 = 1 THEN 'b' ELSE 'c' END AS split_id, CAST(l_partkey AS VARCHAR) AS task_id FROM lineitem) SELECT x.split_id, y.split_id AS other_id, x.task_id FROM t x JOIN t y USING (task_id) WHERE (x.split_id = 'a' AND y.split_id IN ('b', 'c')) OR (x.split_id = 'b' AND y.split_id = 'c')")
+def split_overlap_all(spark, sf):
+    """Tasks in two splits that are declared disjoint, of all parts."""
+    return _overlaps(spark, spark.read.parquet(f"{sf}/lineitem.parquet"))
+
+
+def _overlaps(spark, li):
     tasks = li.select(F.expr("case when l_orderkey % 3 = 0 then 'a' when l_orderkey % 3 = 1 then 'b' else 'c' end").alias("split_id"), F.col("l_partkey").cast("string").alias("task_id"))
     return checks.declared_overlaps(tasks, spark.createDataFrame([("a", ["b", "c"]), ("b", ["c"])], "split_id string, disjoint_from array<string>"))
 
@@ -373,8 +389,18 @@ def hard_easy_product(spark, sf):
 
 @query(f"WITH RECURSIVE {_E.replace('FROM supplier', 'FROM supplier WHERE s_suppkey % 4 = 2')}, c AS (SELECT id, 0 AS depth FROM e UNION SELECT b.id, c.depth + 1 FROM c JOIN e a ON a.id = c.id JOIN e b ON {_D3}), k AS (SELECT e.*, d AS rank FROM e JOIN (SELECT id, max(depth) AS d FROM c GROUP BY id) USING (id)), x AS (SELECT id, rank, {_CROWD.replace('PARTITION BY run', 'PARTITION BY rank')} FROM k WINDOW w AS (PARTITION BY rank)) SELECT 'c' || id AS candidate_id, rank FROM x ORDER BY rank, ({_EDGE}) DESC, CASE WHEN {_EDGE} THEN 0 ELSE {_GAPS} END DESC, 'c' || id LIMIT 9")
 def nsga_survivors(spark, sf):
-    """Survivors by rank and crowding."""
-    p = _pool(spark, sf).where("run = 2").withColumn("candidate_id", F.concat(F.lit("c"), F.col("id").cast("string")))
+    """Survivors of one run by rank and crowding."""
+    return _survivors(_pool(spark, sf).where("run = 2"))
+
+
+@query()
+def nsga_survivors_all(spark, sf):
+    """Survivors of the whole pool by rank and crowding; tests hold it against brute force."""
+    return _survivors(_pool(spark, sf))
+
+
+def _survivors(pool):
+    p = pool.withColumn("candidate_id", F.concat(F.lit("c"), F.col("id").cast("string")))
     return selection.survivors(p.select("candidate_id", "v1", "v2", "v3"), 9).select("candidate_id", "rank")
 
 

@@ -60,5 +60,5 @@ def topk_incumbents(spark, sf):
 def genetic_offspring(spark, sf):
     """A generation of children; tests check its properties."""
     subset = F.filter(F.array(*[F.lit(i) for i in IDS]), lambda p: search.uniform(F.lit("s"), F.col("id").cast("string"), p) < 0.5)
-    pop = _pool(spark, sf).where("run = 1").select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("candidate_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("content_hash"), subset.alias("subset"), "v1", "v2", "v3")
+    pop = _pool(spark, sf).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("candidate_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("content_hash"), subset.alias("subset"), "v1", "v2", "v3")
     return search.offspring(pop, search.patches(spark, IDS), 1, 40, 7).select("draw", F.array_join("subset", ",").alias("subset"))
