@@ -18,8 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import arrow, pieces, staged, table, unique_name
+from ._base import arrow, pieces, staged, table
 
 #: Bound of the fit: labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 40_000
@@ -65,8 +66,13 @@ def metadata_view(text: str, lang: str | None, source: str | None, stated: int |
     return [math.log1p(n), float(stated is None or stated != n), math.log1p(len(lines)), math.log1p(n / k), 1 - len(set(full)) / k, 1 - len(full) / len(lines), sum(len(x) < 20 for x in full) / k, float(lang is None), float(source is None), *hot]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, then c0.. (content) and m0.. (metadata) of each row; null text counts as empty, other nulls as a value of their own."""
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, then c0.. (content) and m0.. (metadata) of each row; null text counts as empty, other nulls as a value of their own.
+
+    With ``carry``, the columns of ``docs`` follow as d0.. in their order.
+    """
+    names = [c.lower() for c in docs.columns]
+    own = {f"d{i}": "text" if c == "text" else f"d{i}" for i, c in enumerate(names)} if carry else {}  # the text is sent once
 
     def step(batches):
         for part, texts in pieces(batches):
@@ -74,12 +80,14 @@ def features(docs: DataFrame) -> DataFrame:
             texts = [x or "" for x in texts]
             c = np.array([content_view(x) for x in texts])
             m = np.array([metadata_view(*x) for x in zip(texts, col("lang"), col("source"), col("n_chars"), strict=True)])
-            yield arrow(doc_id=part.column(0), **{f"c{i}": c[:, i].astype(np.float32) for i in range(c.shape[1])}, **{f"m{i}": m[:, i].astype(np.float32) for i in range(m.shape[1])})
+            yield arrow(doc_id=part.column(0), **{f"c{i}": c[:, i].astype(np.float32) for i in range(c.shape[1])}, **{f"m{i}": m[:, i].astype(np.float32) for i in range(m.shape[1])}, **{k: part.column(part.schema.get_field_index(v)) for k, v in own.items()})
 
-    names = {c.lower() for c in docs.columns}
     other = lambda c, kind: (F.col(c) if c in names else F.lit(None)).cast(kind).alias(c)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), other("lang", "string"), other("source", "string"), other("n_chars", "long"))
-    schema = ", ".join(["doc_id long", *(f"c{i} float" for i in range(len(CONTENT))), *(f"m{i} float" for i in range(len(METADATA)))])
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), other("lang", "string"), other("source", "string"), other("n_chars", "long"), *[F.col(f"`{docs.columns[int(k[1:])]}`").alias(k) for k, v in own.items() if v != "text"])
+    plain = ", ".join(["doc_id long", *(f"c{i} float" for i in range(len(CONTENT))), *(f"m{i} float" for i in range(len(METADATA)))])
+    schema = T.StructType.fromDDL(plain)
+    for k, f in zip(own, docs.schema.fields):
+        schema.add(k, f.dataType)
     return src.mapInArrow(step, schema)
 
 
@@ -202,10 +210,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected; rows that share an id go if all of them are rejected, null ids stay."""
-    key = unique_name(docs, "poor_id")
-    poor = score(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(poor, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    """``docs`` without the rejected; each row is judged by itself, whatever its id."""
+    feats = staged(features(docs, carry=True))
+    model = fit(feats.drop(*[f"d{i}" for i in range(len(docs.columns))]), labels)  # texts don't go to the driver
+    good = feats.where(model.probability() >= THRESHOLD)
+    return good.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import arrow, cut, pieces, table, unique_name
+from ._base import arrow, cut, pieces, staged, table
 
 SEGMENTS, BITS = 16, 4
 #: A cell's run of fingerprints is compared pairwise up to this length; longer runs take the linear way.
@@ -158,6 +159,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """``fps``, one row a fingerprint, with the root of its component."""
+    comp = components(links(fps.select("fp")))
+    return fps.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, component_id (smallest doc_id reachable over links of two or fewer bits).
 
@@ -167,31 +174,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = cut(fingerprints(docs, id_col, text_col))
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    comp = components(links(fps.select("fp")))
-    rooted = fps.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = cut(rooted.join(least, "root").select("fp", "component_id"))
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per component, its smallest id.
+    """``docs`` with one row per component: that with the smallest id, or of null ids alone, the first by its columns' hash.
 
-    Rows that repeat an id are one document: the first by its columns' hash stays.  Of a component whose ids are
-    all null, all rows stay, for nothing tells them apart.
+    Each row is judged by its own fingerprint; of rows that share the smallest id, the first by hash stays.
     """
-    found = cut(near_dedup(docs, id_col, text_col).where("doc_id is null or doc_id = component_id"))
-    kept = found.where("doc_id is not null").groupBy("doc_id").count()
-    twice = kept.where("count > 1").limit(1).count() > 0
-    key = unique_name(docs, "kept_id")
-    out = docs.join(kept.select(F.col("doc_id").alias(key)), F.col(id_col).cast("long") == F.col(key), "left_semi")
-    if twice:
-        from pyspark.sql import Window
-
-        n = unique_name(docs, "copy_number")
-        out = out.withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))).where(F.col(n) == 1).drop(n)
-    lost = found.where("doc_id is null and component_id is null").limit(1).count() > 0
-    return out.unionByName(docs.where(F.col(id_col).isNull())) if lost else out
+    lower = [c.lower() for c in docs.columns]
+    text, key = f"d{lower.index(text_col.lower())}", F.col(f"d{lower.index(id_col.lower())}").cast("long")
+    flat = docs.toDF(*[f"d{i}" for i in range(len(lower))])
+
+    def step(batches):
+        for part, texts in pieces(batches, text):
+            fp = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+            yield arrow(**{c: part.column(c) for c in part.schema.names}, fp=fp)
+
+    carried = flat.mapInArrow(step, T.StructType([*flat.schema.fields, T.StructField("fp", T.LongType())]))
+    # the row number is fixed by writing the table
+    own = staged(carried.withColumns({"hash": F.xxhash64(*flat.columns), "row": F.monotonically_increasing_id()}))
+    fps = cut(own.groupBy("fp").agg(F.min(F.struct(key.isNull().alias("none"), key.alias("id"), "hash", "row")).alias("first")))
+    kept = _rooted(fps).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    out = own.join(kept, "row", "left_semi")
+    return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

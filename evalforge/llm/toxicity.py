@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow, crc_bucket, cut, pieces, table, unique_name
+from ._base import arrow, crc_bucket, cut, pieces, table
 
 #: Beginnings of a word that count as tokens beside the word itself.
 PREFIXES = (3, 4, 5)
@@ -233,6 +233,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size:
     return Model(lexicon, rest, lam, k, a, max(b, 0.0))
 
 
+def _probability(s, found, lam: float, k: float, a: float, b: float) -> float:
+    """Score of a text from its tokens' scores and its segments."""
+    return 1 / (1 + math.exp(-min(max(a + b * math.log1p(evidence([x[2] for x in found], len(s), lam, k)), -30), 30)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score in (0, 1), passages (array of start, end in code points, score).
 
@@ -249,7 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for text in texts:
                 text = text or ""
                 s, found = scan(text)
-                scores.append(1 / (1 + math.exp(-min(max(a + b * math.log1p(evidence([x[2] for x in found], len(s), lam, k)), -30), 30))))
+                scores.append(_probability(s, found, lam, k, a, b))
                 if found:
                     at = [m.span() for m in re.finditer(r"\S+", text)]
                     spans.append([{"start": at[i][0], "end": at[j - 1][1], "score": v} for i, j, v in found])
@@ -271,10 +276,18 @@ THRESHOLD = 0.3
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents scored toxic; rows that share an id go together, null ids stay."""
-    key = unique_name(docs, "toxic_id")
-    bad = score(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    """``docs`` without the rows scored toxic; each is judged by its own text, whatever its id."""
+    model = fit(docs, labels)
+    rest, lam, k, a, b = model.rest, model.lam, model.k, model.a, model.b
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon,))  # LEXICON entries at most
+    column = next(c for c in docs.columns if c.lower() == "text")
+
+    def step(batches):
+        scan = _scan(rest, shared.value[0])
+        for part, texts in pieces(batches, column):
+            yield part.filter(pa.array([_probability(*scan(x or ""), lam, k, a, b) < THRESHOLD for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(step, docs.schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
