@@ -84,21 +84,23 @@ def store(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return artifacts.select("content_hash", "content").dropDuplicates(["content_hash"]), artifacts.select("version_id", "parent_version_id", "content_hash")
 
 
-def ancestors(lineage: DataFrame, depth: int = 64) -> DataFrame:
-    """(version_id, ancestor_id, distance) by doubling: each round joins paths of length n to paths of length n."""
+def ancestors(lineage: DataFrame) -> DataFrame:
+    """(version_id, ancestor_id, least distance) at any depth by doubling: each round joins all paths to all paths.
+
+    Ends when a round finds no new pair: then no pair is further apart.  Pairs are finite, so cycles end too.
+    """
     paths = lineage.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("ancestor_id"), F.lit(1).alias("distance")).distinct()
-    n, count = 1, -1
-    while n < depth:
+    count = -1
+    while True:
         a = paths.toDF("version_id", "middle", "near")
         b = paths.toDF("middle", "ancestor_id", "far")
-        longer = a.join(b, "middle").select("version_id", "ancestor_id", (F.col("near") + F.col("far")).alias("distance")).where(F.col("distance") <= depth)
+        longer = a.join(b, "middle").select("version_id", "ancestor_id", (F.col("near") + F.col("far")).alias("distance"))
         every = paths.unionByName(longer).groupBy("version_id", "ancestor_id").agg(F.min("distance").alias("distance"))
-        paths = every.checkpoint() if shared(every) else every
+        paths = every.checkpoint() if shared(every) else every.localCheckpoint()  # or the plan would triple each round
         now = paths.count()
         if now == count:
-            break
-        n, count = 2 * n, now
-    return paths
+            return paths
+        count = now
 
 
 def shared(df: DataFrame) -> bool:
