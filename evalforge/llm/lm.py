@@ -4,211 +4,529 @@ A bigram model with absolute discounting is interpolated with add-0.1 unigrams.
 Unigram counts are exact for every token.  Bigram counts are quantised on a
 logarithmic scale and kept in a Bloom filter: a bigram of level q is inserted with
 each of 1..q, and its level is read back by probing 1, 2, .. until a probe fails
-(Talbot and Osborne, 2007).  The filter is built in segments by the cluster, has a
-fixed greatest size, and goes to the workers as a broadcast.
-
-Bigrams are those of the ``VOCABULARY`` most frequent tokens that occur at least
-``least`` times; where they would overfill the greatest filter, ``least`` grows.
-All other pairs have their probability from the unigrams: a context keeps for them
-all that its kept bigrams don't take, so no probability is lost.
+(Talbot and Osborne, 2007).  The filter goes to the workers as a broadcast of bounded
+size; bigrams and contexts beyond that bound keep their counts in a partitioned table,
+to which scoring joins, so the probabilities are the same whatever the bound is.
+
+The model is that of all bigrams that occur at least ``LEAST`` times, at any size of
+the corpus; a context keeps for the unigrams all that its bigrams don't take, so no
+probability is lost.
+
+Tokens are 64-bit hashes of their bytes, computed for whole Arrow buffers at once; a
+bigram is known by the upper halves of its tokens' hashes.  Counts travel as sorted
+blocks, one row for each task and bucket of hashes, and are merged in blocks, so that
+neither Spark nor Python handles tokens one at a time.  Buckets are as many as the
+text has ``BUCKET_BYTES``, so none grows with the corpus, and a frequent token or
+bigram is one entry of a task's block.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow, crc_bucket, cut, pieces, staged, table
+from ._base import arrow, crc_bucket, staged, table
 
-#: Bound of the vocabulary that workers get as a whole; rarer tokens' counts are joined.
+#: Bound of the table of frequent tokens that workers get as a whole; rarer tokens' counts are joined.
 VOCABULARY = 1 << 18
-DISCOUNT, BASE, PROBES = 0.75, 1.4, 10
-#: A segment of the filter in bits, and the greatest number of segments (128 MB in all).
-SEGMENT, SEGMENTS = 1 << 23, 1 << 7
-LEVELS = 48
-END = b"\n"
-_M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Bigrams of the model occur so often or more.
+LEAST = 2
+DISCOUNT, BASE, LEVELS = 0.75, 1.4, 96
+#: Probes of a key's first level, and of each further one.
+FIRST, LATER = 10, 5
+#: Bound of the broadcast filter in bits (128 MB).
+MOST_BITS = 1 << 30
+#: Text that one bucket of hashes stands for, text that is looked at in one step, and tokens that a task counts at a time.
+BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 20, 1 << 22
+#: Words up to so many bytes are hashed together; longer ones one by one.
+SHORT = 64
+U = np.uint64
+_M1, _M2, _M3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
+_BACK = U(pow(int(_M3), -1, 1 << 64))
+#: What stands for the end of a text, and for what precedes its first token.
+END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
+_BITS32 = U(0xFFFFFFFF)
+_CONTEXT_COUNT, _CONTEXT_TAKEN = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+_LEVEL_SALTS = np.arange(512, dtype=U) * _M1
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words of a whole text as UTF-8, then the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * _M1
+    x = (x ^ (x >> U(27))) * _M2
+    return x ^ (x >> U(31))
+
+
+def word_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each lower-cased word of ``raw`` (bytes); words also end at the positions ``cuts``."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    low = np.zeros(n + 8, np.uint8)
+    np.take(_LOWER, raw, out=low[:n])
+    space = _SPACE[raw]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    first[cuts] = ~space[cuts]
+    last[:-1] &= space[1:]
+    last[cuts - 1] = ~space[cuts - 1]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    # eight bytes from every position on
+    two = low[:-1].astype(np.uint16) | low[1:].astype(np.uint16) << np.uint16(8)
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+    eight = four[:-4].astype(U) | four[4:].astype(U) << U(32)
+    out = _mix((eight[start] & _MASKS[np.minimum(size, 8)]) + size.astype(U) * _M3)
+    for at in range(8, SHORT, 8):
+        more = np.flatnonzero((size > at) & (size <= SHORT))
+        if not len(more):
+            break
+        out[more] = _mix(out[more] * _M1 ^ (eight[start[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(low[start[i] : start[i] + size[i]].tobytes(), 5)
+    return start, out
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a string column; null texts are empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+
+
+def _pieces_of(raw: np.ndarray):
+    """Slices of about STEP_BYTES of one long text, cut before white space, for memory's sake."""
+    at = 0
+    while at < len(raw):
+        end = min(at + STEP_BYTES, len(raw))
+        while end < len(raw):
+            gap = np.flatnonzero(_SPACE[raw[end : end + STEP_BYTES]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(end + STEP_BYTES, len(raw))
+        yield raw[at:end]
+        at = end
+
+
+def token_rows(batches, column: str = "text"):
+    """For steps of whole rows: (batch slice, tokens of each row, all their hashes), each row ended by END."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets, raw = _texts(batch.column(batch.schema.get_field_index(column)))
+        row = 0
+        while row < batch.num_rows:
+            stop = max(int(np.searchsorted(offsets, offsets[row] + STEP_BYTES, side="right")) - 1, row + 1)
+            begin, part = offsets[row], raw[offsets[row] : offsets[stop]]
+            if stop == row + 1 and len(part) > 2 * STEP_BYTES:
+                h = np.concatenate([word_hashes(p, np.zeros(0, np.int64))[1] for p in _pieces_of(part)])
+                words = np.array([len(h)])
+            else:
+                start, h = word_hashes(part, offsets[row + 1 : stop] - begin)
+                edges = np.searchsorted(start, offsets[row : stop + 1] - begin)
+                words = np.diff(edges)
+            sizes = words + 1
+            all_ = np.empty(len(h) + len(words), U)
+            ends = np.cumsum(sizes) - 1
+            inner = np.ones(len(all_), bool)
+            inner[ends] = False
+            all_[inner] = h
+            all_[ends] = END
+            yield batch.slice(row, stop - row), sizes, all_
+            row = stop
+
+
+def bigrams(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Key of each token with its predecessor; keys are in one-to-one relation to the upper halves of both hashes."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[np.cumsum(sizes) - sizes] = START
+    return ((before & ~_BITS32) | (h >> U(32))) * _M3
+
+
+def context_of(key: np.ndarray) -> np.ndarray:
+    """Upper half of the hash of a bigram's first token."""
+    return (key * _BACK) >> U(32)
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the bucket; grows with the key."""
+    return ((key >> U(32)) * U(buckets)) >> U(32)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Quantised level of each count of LEAST or more, from 1 on."""
+    return np.minimum(1 + np.floor(np.log(np.maximum(counts, LEAST) / LEAST) / math.log(BASE) + 1e-9), LEVELS).astype(np.int64)
+
+
+def _values() -> np.ndarray:
+    first = np.ceil(LEAST * BASE ** np.arange(LEVELS) - 1e-9)
+    last = np.maximum(np.ceil(LEAST * BASE ** np.arange(1, LEVELS + 1) - 1e-9) - 1, first)
+    return np.r_[0.0, np.sqrt(first * last)]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+#: The count that each level stands for; 0 for level 0.
+VALUES = _values()
+#: Contexts have finer steps: level q of a context stands for _FINE ** (q - 1) or less, so that what bigrams take is never understated.
+_FINE = 1.1
+_FINE_LEVELS = 400
 
 
-def levels(counts: np.ndarray, least: int) -> np.ndarray:
-    """Quantised level of each count, 1 for ``least``."""
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, least) / least) / math.log(BASE) + 1e-9), LEVELS).astype(np.int64)
+def _fine_level(x: np.ndarray) -> np.ndarray:
+    return np.minimum(1 + np.ceil(np.log(np.maximum(x, 1.0)) / math.log(_FINE) - 1e-9), _FINE_LEVELS).astype(np.int64)
 
 
-def values(least: int) -> np.ndarray:
-    """The count that each level stands for; 0 for level 0."""
-    low = least * BASE ** np.arange(LEVELS)
-    first = np.ceil(low - 1e-9)
-    last = np.maximum(np.ceil(least * BASE ** np.arange(1, LEVELS + 1) - 1e-9) - 1, first)
-    return np.r_[0.0, np.sqrt(first * last)]
+def _fine_value(q: np.ndarray) -> np.ndarray:
+    return np.where(q > 0, _FINE ** (q - 1.0), 0.0)
+
+
+def _probe_start(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of (key, level) start, and their step."""
+    h = _mix(key ^ _LEVEL_SALTS[level])
+    return h & _BITS32, (h >> U(32)) | U(1)
 
 
-def _bits(key: np.ndarray, level: np.ndarray, segments: int):
-    """Segment of each key, and the PROBES bits of (key, level) in it."""
-    where = _mix(key * _M3) % np.uint64(segments)
-    h = _mix(key * _M3 + level.astype(np.uint64) * _M1 + np.uint64(1))
-    step = _mix(h + _M2) | np.uint64(1)
-    return where.astype(np.int64), h, step
+def _probe(start: np.ndarray, step: np.ndarray, j: int, size: np.ndarray) -> np.ndarray:
+    """The j-th place in a part of ``size`` bits."""
+    return ((((start + U(j) * step) & _BITS32) * size) >> U(32)).astype(np.int64)
 
 
-def insert(segment: np.ndarray, key: np.ndarray, level: np.ndarray, segments: int) -> None:
-    """Sets the bits of all (key, 1..level) in one segment (a boolean array)."""
+def insert(bits: np.ndarray, key: np.ndarray, level: np.ndarray) -> None:
+    """Sets the bits of all (key, 1..level) in one part, a boolean array."""
     for q in range(1, int(level.max(initial=0)) + 1):
-        k = key[level >= q]
-        _, h, step = _bits(k, np.full(len(k), q), segments)
-        for j in range(PROBES):
-            segment[((h + np.uint64(j) * step) & np.uint64(SEGMENT - 1)).astype(np.int64)] = True
-
-
-def probe(bits: np.ndarray, key: np.ndarray, segments: int) -> np.ndarray:
-    """Level of each key, by membership probes of 1, 2, ..; 0 if the first fails."""
-    out = np.zeros(len(key), np.int64)
-    left = np.arange(len(key))
-    for q in range(1, LEVELS + 1):
-        if not len(left):
-            break
-        where, h, step = _bits(key[left], np.full(len(left), q), segments)
-        base, alive = where * SEGMENT, np.arange(len(left))
-        for j in range(PROBES):
-            at = base[alive] + ((h[alive] + np.uint64(j) * step[alive]) & np.uint64(SEGMENT - 1)).astype(np.int64)
-            alive = alive[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            if not len(alive):
-                break
-        left = left[alive]
-        out[left] = q
-    return out
+        start, step = _probe_start(key[level >= q], q)
+        for j in range(FIRST if q == 1 else LATER):
+            bits[_probe(start, step, j, U(len(bits)))] = True
+
+
+def part_bits(level: np.ndarray) -> int:
+    """Bits of a part for keys of these levels, half of which will be set."""
+    return _bits_for(len(level), int(level.sum()))
 
 
-class _Index(dict):
-    """Token to its rank in the vocabulary, -1 for others."""
+def _bits_for(keys: int, levels_: int) -> int:
+    return 64 * math.ceil((keys * FIRST + (levels_ - keys) * LATER) / math.log(2) / 64 + 1)
 
-    def __missing__(self, word):
-        return -1
+
+@dataclass(frozen=True)
+class Filter:
+    """Log-frequency Bloom filter in parts, one a bucket of keys; part b has the bits from base[b] on."""
+
+    bits: np.ndarray
+    base: np.ndarray
+
+    def level(self, key: np.ndarray, most: int = LEVELS) -> np.ndarray:
+        """Level of each key, by membership probes of 1, 2, ..; 0 if the first fails."""
+        out = np.zeros(len(key), np.int64)
+        if len(self.base) < 2:
+            return out
+        part = _bucket(key, len(self.base) - 1).astype(np.int64)
+        base, size = self.base[part], (self.base[part + 1] - self.base[part]).astype(U)
+        left = np.arange(len(key))
+        for q in range(1, most + 1):
+            if not len(left):
+                break
+            k, b, s = key[left], base[left], size[left]
+            alive = np.arange(len(left))
+            start, step = _probe_start(k, q)
+            for j in range(FIRST if q == 1 else LATER):
+                at = b[alive] + _probe(start[alive], step[alive], j, s[alive])
+                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                if not len(alive):
+                    break
+            left = left[alive]
+            out[left] = q
+        return out
+
+
+class Vocabulary:
+    """Sorted hashes of frequent tokens, looked up through an index on their upper bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = U(64 - max(int(len(hashes)).bit_length() + 2, 8))
+        slots = 1 << (64 - int(self.shift))
+        self.offset = np.searchsorted(hashes >> self.shift, np.arange(slots + 1, dtype=U)).astype(np.int32)
+        self.longest = int(np.diff(self.offset).max(initial=0))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for others."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.offset[slot], self.offset[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        for _ in range(self.longest):
+            same = self.hashes[at] == h[left]
+            out[left[same]] = at[same]
+            at = at + 1
+            on = ~same & (at < end)
+            left, at, end = left[on], at[on], end[on]
+            if not len(left):
+                break
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: totals, the exact counts of all tokens, and the broadcast part (bounded by VOCABULARY and SEGMENTS)."""
+    """What scoring needs: totals, the exact counts of all tokens, the broadcast part (bounded by VOCABULARY and MOST_BITS), and what is beyond it."""
 
     n: int
     v: int
     counts: DataFrame
     shared: object
-    segments: int
-    least: int
+    #: (key, level) of the bigrams and (context, total, taken) of the contexts that the filter has no room for.
+    rest: tuple[DataFrame, DataFrame] | None
 
 
+_BLOCK = "kind int, bucket long, keys binary, counts binary"
 
-def _count_words(batches):
-    counts: Counter = Counter()
-    for _, texts in pieces(batches):
-        for t in texts:
-            counts.update(tokens(t))
-        if len(counts) > 400_000:
-            yield arrow(token=pa.array(list(counts), pa.binary()), n=list(counts.values()))
-            counts.clear()
-    if counts:
-        yield arrow(token=pa.array(list(counts), pa.binary()), n=list(counts.values()))
 
+def _blocks(kind: int, key: np.ndarray, buckets: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and their counts as one row for each bucket that has any."""
+    b = _bucket(key, buckets)
+    edges = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+    spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    cut_ = lambda a: pa.array([a[i:j].tobytes() for i, j in spans], pa.binary())
+    return arrow(kind=pa.array([kind] * len(spans), pa.int32()), bucket=pa.array([int(b[i]) for i, _ in spans], pa.int64()), keys=cut_(key), counts=cut_(counts))
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, least: int = 2) -> Model:
-    """Counts over all rows of ``docs`` (null text: the end alone); no row is left out."""
-    spark = docs.sparkSession
-    text = docs.select(F.col("text"))
-    counts = staged(text.mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total.n or 0), int(total.v or 0)
-    top = counts.orderBy(F.desc("n"), "token").limit(vocabulary).toArrow()  # vocabulary rows at most
-    names, c = top.column("token").to_pylist(), np.array(top.column("n").to_pylist(), np.int64)
-    index = spark.sparkContext.broadcast(names)
-    size = len(names) + 1  # the last stands for the start of a text
-    starts = int(c[names.index(END)]) if END in names else 0
-
-    def pairs(batches):
-        known = _Index(zip(index.value, range(size)))
-        held: list[np.ndarray] = []
+
+def _counter(buckets: int):
+    """Counts tokens (kind 0) and bigrams (kind 1) of a task's rows."""
+
+    def step(batches):
+        held: list[list[np.ndarray]] = [[], []]
         amount = 0
 
         def flush():
-            u, k = np.unique(np.concatenate(held), return_counts=True)
-            return arrow(pair=u, n=k.astype(np.int64))
-
-        for _, texts in pieces(batches):
-            for t in texts:
-                w = tokens(t)
-                i = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-                before = np.r_[size - 1, i[:-1]]
-                good = (i >= 0) & (before >= 0)
-                held.append(before[good] * size + i[good])
-                amount += len(w)
-            if amount > 4_000_000:
-                yield flush()
-                held, amount = [], 0
-        if held:
-            yield flush()
-
-    kept = staged(text.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    # how many insertions each least count would take: a histogram by size, so the filter's bound holds before it is built
-    hist = {int(r.p): (r.types, r.logs) for r in kept.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("types"), F.sum(F.log("n")).alias("logs")).collect()}
-    room = SEGMENTS * SEGMENT * math.log(2) / PROBES
-    need = lambda m: sum(t + max(l - t * math.log(m), 0) / math.log(BASE) for p, (t, l) in hist.items() if 2**p >= m)
-    p = int(math.log2(least))
-    low = least
-    if sum(t + max(l - t * math.log(least), 0) / math.log(BASE) for t, l in hist.values()) > room:
-        while need(2**p) > room:
-            p += 1
-        low = max(2**p, least)
-        kept = kept.where(F.col("n") >= low)
-        amount = need(low)
-    else:
-        amount = sum(t + max(l - t * math.log(least), 0) / math.log(BASE) for t, l in hist.values())
-    segments = int(min(max(math.ceil(amount * PROBES / math.log(2) / SEGMENT), 1), SEGMENTS))
-    value = values(low)
-
-    def levelled(batches):
+            for kind in (0, 1):
+                key, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+                held[kind].clear()
+                yield _blocks(kind, key, buckets, n.astype(np.uint32))
+
+        for _, sizes, h in token_rows(batches):
+            held[0].append(h)
+            held[1].append(bigrams(h, sizes))
+            amount += len(h)
+            if amount >= HOLD:
+                yield from flush()
+                amount = 0
+        if amount:
+            yield from flush()
+
+    return step
+
+
+def _merged(key: np.ndarray, *values: np.ndarray):
+    """Distinct keys in order, and the sums of their values."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
+def _joined(t: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
+
+
+_TOTALS = "types long, total long, histogram array<long>"
+
+
+def _merge(buckets: int):
+    """One bucket's blocks of kind 0 or 1 to one block; kept bigrams and all tokens also give blocks of contexts (kind 2)."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
+        key, n = _merged(_joined(t, "keys", U), _joined(t, "counts", np.uint32).astype(np.int64))
+        types, total = len(key), int(n.sum())
+        if kind == 0:
+            first = np.where(key == END, START, key) >> U(32)
+            size, taken = n, np.zeros(len(n))
+            grade = np.floor(4 * np.log2(n)).astype(np.int64)
+        else:
+            keep = n >= LEAST
+            key, n = key[keep], n[keep]
+            grade = levels(n)
+            first, size, taken = context_of(key), np.zeros(len(n), np.int64), VALUES[grade] - DISCOUNT
+        if len(key):
+            mixed, size, taken = _merged(_mix(first + _M2), size.astype(np.float64), taken)
+            rows = pa.Table.from_batches([_blocks(kind, key, buckets, n), _blocks(2, mixed, buckets, np.stack([size, taken], 1))])
+        else:
+            rows = pa.Table.from_batches([arrow(kind=pa.array([kind], pa.int32()), bucket=[bucket], keys=pa.array([b""], pa.binary()), counts=pa.array([b""], pa.binary()))])
+        lead = len(rows) - 1
+        rows = rows.append_column("types", pa.array([types] + [0] * lead, pa.int64())).append_column("total", pa.array([total] + [0] * lead, pa.int64()))
+        return rows.append_column("histogram", pa.array([np.bincount(grade).tolist()] + [[]] * lead, pa.list_(pa.int64())))
+
+    return merge
+
+
+def _merge_contexts(t: pa.Table) -> pa.Table:
+    """One bucket's blocks of contexts: total and taken mass of each that has bigrams."""
+    key = _joined(t, "keys", U)
+    mass = _joined(t, "counts", np.float64).reshape(-1, 2)
+    key, size, taken = _merged(key, mass[:, 0], mass[:, 1])
+    keep = taken > 0
+    key, size, taken = key[keep], np.maximum(size[keep], taken[keep]), taken[keep]
+    return pa.Table.from_batches([arrow(bucket=pa.array([t.column("bucket")[0].as_py()], pa.int64()), keys=pa.array([key.tobytes()], pa.binary()), size=pa.array([size.tobytes()], pa.binary()), taken=pa.array([taken.tobytes()], pa.binary()))])
+
+
+def _histogram(df: DataFrame) -> dict[int, int]:
+    """Sum of the histograms of blocks; at most a few hundred grades."""
+    got = df.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    return {r.pos: int(r.n) for r in got}
+
+
+def _as_long(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64))
+
+
+def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BITS) -> Model:
+    """Counts over all rows of ``docs`` (null text: the end alone); no row is left out, and no count but of bigrams seen less than LEAST times."""
+    spark = docs.sparkSession
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    size = text.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    buckets = max(-(-int(size) // BUCKET_BYTES), 1)
+    merged = staged(text.mapInArrow(_counter(buckets), _BLOCK).groupBy("kind", "bucket").applyInArrow(_merge(buckets), f"{_BLOCK}, {_TOTALS}"))
+    token_blocks, pair_blocks = merged.where("kind = 0"), merged.where("kind = 1")
+    sums = token_blocks.agg(F.sum("types").alias("v"), F.sum("total").alias("n")).first()
+    n, v = int(sums.n or 0), int(sums.v or 0)
+
+    # the frequent tokens: all above the least grade that leaves no more than ``vocabulary``
+    grades, room, least = _histogram(token_blocks), vocabulary, 0
+    for g in sorted(grades, reverse=True):
+        if grades[g] > room:
+            least = g + 1
+            break
+        room -= grades[g]
+
+    def counted(above: int):
+        def step(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    key, c = np.frombuffer(b.column(0)[i].as_buffer(), U), np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
+                    on = np.floor(4 * np.log2(np.maximum(c, 1))) >= above
+                    yield arrow(token=_as_long(key[on]), n=c[on])
+
+        return step
+
+    counts = token_blocks.select("keys", "counts").mapInArrow(counted(0), "token long, n long")
+    top = token_blocks.select("keys", "counts").mapInArrow(counted(least), "token long, n long").toArrow()  # ``vocabulary`` rows at most
+    names, c = top.column("token").to_numpy().view(U), top.column("n").to_numpy()
+    order = np.argsort(names)
+    names, c = names[order], c[order]
+
+    contexts = staged(merged.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_merge_contexts, "bucket long, keys binary, size binary, taken binary"))
+    frequent = np.unique(np.r_[_mix((names >> U(32)) + _M2), _mix(np.array([START >> U(32)], U) + _M2)])
+    shared_names = spark.sparkContext.broadcast(frequent)
+
+    def unpacked(batches, of_frequent: bool):
         for b in batches:
-            key, k = b.column(0).to_numpy(), b.column(1).to_numpy()
-            q = levels(k, low)
-            where, _, _ = _bits(key.astype(np.uint64), q, segments)
-            yield arrow(segment=where, before=key // size, pair=key, level=q, mass=value[q] - DISCOUNT)
-
-    leveled = kept.mapInArrow(levelled, "segment long, before long, pair long, level long, mass double")
-    masses = leveled.groupBy("before").agg(F.sum("mass").alias("mass")).toArrow()  # vocabulary + 1 rows at most
-
-    def build(t: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT, bool)
-        insert(bits, t.column("pair").to_numpy().astype(np.uint64), t.column("level").to_numpy(), segments)
-        return pa.Table.from_batches([arrow(segment=[t.column("segment")[0].as_py()], bits=pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))])
-
-    bits = np.zeros(segments * SEGMENT // 8, np.uint8)
-    for r in leveled.select("segment", "pair", "level").groupBy("segment").applyInArrow(build, "segment long, bits binary").toLocalIterator():
-        bits[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
-    context = np.r_[c, starts].astype(np.float64)
-    taken = np.zeros(size)
-    taken[masses.column("before").to_numpy()] = masses.column("mass").to_numpy()
-    context = np.maximum(context, taken)  # quantised counts may sum to more
-    rest = 1 - taken / np.maximum(context, 1)
-    shared = spark.sparkContext.broadcast((names, c, context, np.maximum(rest, 1e-3), bits))
-    return Model(n, v, counts, shared, segments, low)
+            for i in range(b.num_rows):
+                key, size_, taken = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((0, U), (1, np.float64), (2, np.float64)))
+                on = np.isin(key, shared_names.value) == of_frequent
+                yield arrow(context=_as_long(key[on]), size=size_[on], taken=taken[on])
+
+    kind = "context long, size double, taken double"
+    known = contexts.select("keys", "size", "taken").mapInArrow(lambda it: unpacked(it, True), kind).toArrow()  # ``vocabulary`` + 1 rows at most
+    mine, mass = known.column("context").to_numpy().view(U), np.stack([known.column("size").to_numpy(), known.column("taken").to_numpy()], 1)
+    order = np.argsort(mine)
+    mine, mass = mine[order], mass[order]
+
+    # does all fit in the filter?  Else the bigrams of the lowest levels, and rare contexts, are joined
+    per_level = _histogram(pair_blocks)
+    rare = contexts.select("keys", "size", "taken").mapInArrow(lambda it: unpacked(it, False), kind)
+    rare_blocks = staged(rare.mapInArrow(_context_blocks(buckets), f"{_BLOCK}, entries long, levels long").groupBy("bucket").applyInArrow(_gather, "bucket long, keys binary, counts binary, entries long, levels long"))
+    total = rare_blocks.agg(F.sum("entries").alias("e"), F.sum("levels").alias("l")).first()
+    rare_bits = _bits_for(int(total.e or 0), int(total.l or 0)) + 128 * buckets
+    need = lambda q0: sum(_bits_for(k, k * q) for q, k in per_level.items() if q >= q0) + 128 * buckets
+    least_level, with_rare = 1, need(1) + rare_bits <= most_bits
+    if not with_rare:
+        while least_level < LEVELS and need(least_level) > most_bits:
+            least_level += 1
+
+    def pair_bits(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                key, level = np.frombuffer(b.column(1)[i].as_buffer(), U), levels(np.frombuffer(b.column(2)[i].as_buffer(), np.int64))
+                on = level >= least_level
+                yield _part(b.column(0)[i].as_py(), key[on], level[on])
+
+    def rare_bits_of(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                key = np.frombuffer(b.column(1)[i].as_buffer(), U)
+                yield _part(b.column(0)[i].as_py(), key, np.frombuffer(b.column(2)[i].as_buffer(), np.int64))
+
+    part = "bucket long, bits binary, size long"
+    pairs = _assembled(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part), buckets)
+    others = _assembled(rare_blocks.select("bucket", "keys", "counts").mapInArrow(rare_bits_of, part), buckets) if with_rare else Filter(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    rest = None
+    if not with_rare:
+
+        def below(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    key, level = np.frombuffer(b.column(0)[i].as_buffer(), U), levels(np.frombuffer(b.column(1)[i].as_buffer(), np.int64))
+                    on = level < least_level
+                    yield arrow(key=_as_long(key[on]), level=level[on])
+
+        # contexts are quantised as the filter does it, so that the answer doesn't depend on where they are kept
+        rest = (pair_blocks.select("keys", "counts").mapInArrow(below, "key long, level long"), rare)
+    return Model(n, v, counts, spark.sparkContext.broadcast((names, c, mine, mass, (pairs.bits, pairs.base), (others.bits, others.base))), rest)
+
+
+def _context_blocks(buckets: int):
+    """Rare contexts as filter entries: each under two keys, for its total and for what its bigrams take."""
+
+    def step(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            context = b.column(0).to_numpy().view(U)
+            key = np.r_[context ^ _CONTEXT_COUNT, context ^ _CONTEXT_TAKEN]
+            level = np.r_[_fine_level(b.column(1).to_numpy()), _fine_level(b.column(2).to_numpy())]
+            order = np.argsort(key)
+            key, level = key[order], level[order]
+            got = _blocks(3, key, buckets, level)
+            sizes = [len(x) // 8 for x in got.column(2).to_pylist()]
+            ends = np.cumsum([0, *sizes])
+            sums = [int(level[i:j].sum()) for i, j in zip(ends[:-1], ends[1:])]
+            yield arrow(**{name: got.column(i) for i, name in enumerate(got.schema.names)}, entries=sizes, levels=sums)
+
+    return step
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    total = lambda c: [sum(t.column(c).to_pylist())]
+    return pa.Table.from_batches([arrow(bucket=[t.column("bucket")[0].as_py()], keys=pa.array([_joined(t, "keys", U).tobytes()], pa.binary()), counts=pa.array([_joined(t, "counts", np.int64).tobytes()], pa.binary()), entries=total("entries"), levels=total("levels"))])
+
+
+def _part(bucket: int, key: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+    bits = np.zeros(part_bits(level), bool)
+    insert(bits, key, level)
+    return arrow(bucket=[bucket], bits=pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), size=[len(bits)])
+
+
+def _assembled(parts: DataFrame, buckets: int) -> Filter:
+    """The filter of all parts; its size was checked against the bound, and one part at a time comes to the driver."""
+    got = sorted(((r.bucket, bytes(r.bits)) for r in staged(parts).toLocalIterator()), key=lambda x: x[0])
+    empty = np.packbits(np.zeros(64, bool)).tobytes()
+    by = dict(got)
+    found = [by.get(b, empty) for b in range(buckets)]
+    return Filter(np.frombuffer(b"".join(found), np.uint8), np.r_[0, np.cumsum([8 * len(x) for x in found])].astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -217,53 +535,88 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are the end alone; repeated rows and null ids stay; an empty table gives no row; columns
     other than doc_id and text are ignored.  A model of no text gives every token the same probability.
     """
-    n, v, segments, least, shared = model.n, model.v, model.segments, model.least, model.shared
+    n, v, shared, beyond = model.n, model.v, model.shared, model.rest is not None
     norm = math.log10(n + 0.1 * (v + 1))
 
     def step(batches):
-        names, c, context, rest, bits = shared.value
-        size = len(names) + 1
-        known = _Index(zip(names, range(size)))
-        base = np.r_[np.log10(c + 0.1), -1.0] - norm  # at -1: a token that was never seen
+        names, c, mine, mass, pair_parts, rare_parts = shared.value
+        words, contexts = Vocabulary(names), Vocabulary(mine)
+        pairs, others = Filter(*pair_parts), Filter(*rare_parts)
+        base = np.r_[np.log10(c + 0.1), -1.0] - norm  # the last: a token that was never seen
         uni = 10.0**base
-        value = values(least)
-        for part, texts in pieces(batches):
-            rows = [tokens(t) for t in texts]
-            lengths = np.array([len(r) for r in rows])
-            flat = [w for r in rows for w in r]
-            i = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-            starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(rows) else np.zeros(0, int)
-            before = np.r_[-1, i[:-1]]
-            before[starts] = size - 1
-            seen = i >= 0
-            left = np.where(before >= 0, rest[before], 1.0)  # what the context keeps for the unigrams
-            s = np.log10(left)
-            both = np.flatnonzero(seen & (before >= 0))
-            level = probe(bits, (before[both] * size + i[both]).astype(np.uint64), segments)
-            hit, q = both[level > 0], level[level > 0]
-            s[seen] += base[i[seen]]
-            if len(hit):
-                x = np.maximum(value[q] - DISCOUNT, 0) / np.maximum(context[before[hit]], 1)
-                s[hit] = np.log10(np.minimum(x + left[hit] * uni[i[hit]], 1.0))
-            total = lambda a: np.add.reduceat(a, starts) if len(starts) else np.zeros(0)
-            rare = np.flatnonzero(~seen).tolist()
-            owner = np.repeat(np.arange(len(rows)), lengths)[rare].tolist()
-            found: list[Counter] = [Counter() for _ in rows]
-            for o, w in zip(owner, rare):
-                found[o][flat[w]] += 1
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            words = pa.StructArray.from_arrays([pa.array([w for f in found for w in f], pa.binary()), pa.array([k for f in found for k in f.values()], pa.int64())], ["token", "k"])
-            yield arrow(doc_id=part.column(0), n_tokens=lengths, n_top=total(seen.astype(np.int64)), base_top=total(np.where(seen, base[i], 0.0)), score_top=total(s), rare=pa.ListArray.from_arrays(offsets, words))
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    got = src.mapInArrow(step, "doc_id long, n_tokens long, n_top long, base_top double, score_top double, rare array<struct<token:binary,k:long>>")
+        size, taken = np.r_[mass[:, 0], 1.0], np.r_[mass[:, 1], 0.0]
+        for part, sizes, h in token_rows(batches):
+            at = words.find(h)
+            key = bigrams(h, sizes)
+            order = np.argsort(key)
+            sorted_ = key[order]
+            first = np.r_[True, sorted_[1:] != sorted_[:-1]]
+            one = sorted_[first]
+            level = pairs.level(one)
+            context = _mix(context_of(one) + _M2)
+            place = contexts.find(context)
+            total, used = size[place], taken[place]
+            unknown = np.flatnonzero(place < 0)
+            if len(unknown) and len(others.base) > 1:
+                q = others.level(context[unknown] ^ _CONTEXT_COUNT, most=_FINE_LEVELS)
+                p = others.level(context[unknown] ^ _CONTEXT_TAKEN, most=_FINE_LEVELS)
+                both = (q > 0) & (p > 0)
+                total[unknown] = np.where(both, np.maximum(_fine_value(q), _fine_value(p)), 1.0)
+                used[unknown] = np.where(both, _fine_value(p), 0.0)
+            a = np.where((level > 0) & (used > 0), np.maximum(VALUES[level] - DISCOUNT, 0) / np.maximum(total, 1e-9), 0.0)
+            b = np.maximum(1 - used / np.maximum(total, 1e-9), 1e-3)
+            back = np.empty(len(key), np.int64)
+            back[order] = np.cumsum(first) - 1
+            starts = np.cumsum(sizes) - sizes
+            seen = at >= 0
+            later = ~seen  # what needs a join
+            if beyond:
+                later = later | (level == 0)[back] | (place < 0)[back]
+            s = np.where(later, 0.0, np.log10(np.minimum(a[back] + b[back] * uni[at], 1.0)))
+            add = lambda x: np.add.reduceat(x, starts)
+            left = np.flatnonzero(later)
+            owner = np.searchsorted(starts, left, side="right") - 1
+            offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
+            k = back[left]
+            fields = {"token": _as_long(h[left]), "c": pa.array(np.where(at[left] >= 0, c[np.maximum(at[left], 0)] if len(c) else 0, -1), pa.int64()), "a": pa.array(a[k]), "b": pa.array(b[k])}
+            if beyond:
+                fields |= {"key": _as_long(one[k]), "level": pa.array(level[k]), "context": _as_long(context[k]), "size": pa.array(np.where(place[k] >= 0, total[k], -1.0)), "taken": pa.array(used[k])}
+            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            yield arrow(doc_id=part.column(0), n_tokens=sizes, n_top=add(seen.astype(np.int64)), base_top=add(np.where(seen, base[at], 0.0)), score_top=add(s), rest=rest)
+
+    more = ", key:bigint, level:bigint, context:bigint, size:double, taken:double" if beyond else ""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    got = src.mapInArrow(step, f"doc_id long, n_tokens long, n_top long, base_top double, score_top double, rest array<struct<token:bigint,c:bigint,a:double,b:double{more}>>")
     # the row number is fixed by writing the table
     got = staged(got.withColumn("row", F.monotonically_increasing_id()))
-    each = got.select("row", F.inline("rare"))
-    counted = each.join(model.counts, "token", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    sums = counted.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.1) - norm)).alias("logs"))
-    known, logs = F.coalesce("known", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return got.join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("n_top") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_top") + logs).alias("base_score"), (F.col("score_top") + logs).alias("score"))
+    each = got.select("row", F.inline("rest"))
+    if beyond:
+        each = _beyond(each, *model.rest)
+    counts = model.counts.withColumnRenamed("n", "found")
+    rare = each.where("c < 0").join(counts, "token", "left")
+    uni = lambda k: (k + 0.1) / 10**norm
+    prob = lambda k: F.log10(F.least(F.col("a") + F.col("b") * uni(k), F.lit(1.0)))
+    k = F.coalesce("found", F.lit(0))
+    late = rare.select("row", (k > 0).cast("long").alias("known"), F.log10(uni(k)).alias("logs"), prob(k).alias("score"))
+    if beyond:
+        late = late.unionByName(each.where("c >= 0").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("logs"), prob(F.col("c")).alias("score")))
+    sums = late.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "logs", "score")])
+    some = lambda c, zero: F.coalesce(c, F.lit(zero))
+    return got.join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("n_top") + some("known", 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_top") + some("logs", 0.0)).alias("base_score"), (F.col("score_top") + some("score", 0.0)).alias("score"))
+
+
+def _beyond(each: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``each`` with a and b from the tables of what the filter has no room for."""
+    fine = lambda x: F.pow(F.lit(_FINE), F.greatest(F.ceil(F.log(F.greatest(x, F.lit(1.0))) / math.log(_FINE) - 1e-9), F.lit(0)))
+    value = F.element_at(F.array(*[F.lit(float(x)) for x in VALUES]), (F.col("level") + 1).cast("int"))
+    each = each.join(pairs.withColumnRenamed("level", "found"), "key", "left").withColumn("level", F.coalesce("found", "level")).drop("found")
+    other = contexts.select("context", fine(F.col("size")).alias("s"), fine(F.col("taken")).alias("t"))
+    each = each.join(other, "context", "left").withColumn("own", F.col("size") >= 0)
+    used = F.when(F.col("own"), F.col("taken")).otherwise(F.coalesce("t", F.lit(0.0)))
+    total = F.when(F.col("own"), F.col("size")).otherwise(F.coalesce(F.greatest("s", "t"), F.lit(1.0)))
+    each = each.withColumn("used", used).withColumn("total", F.greatest(total, F.lit(1e-9)))
+    a = F.when((F.col("level") > 0) & (F.col("used") > 0), F.greatest(value - DISCOUNT, F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    return each.select("row", "token", "c", a.alias("a"), F.greatest(1 - F.col("used") / F.col("total"), F.lit(1e-3)).alias("b"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
