@@ -43,7 +43,9 @@ FIRST, LATER = 10, 5
 #: Bound of the broadcast filter in bits (128 MB).
 MOST_BITS = 1 << 30
 #: Text that one bucket of hashes stands for, text that is looked at in one step, and tokens that a task counts at a time.
-BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 20, 1 << 22
+BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 19, 1 << 21
+#: Blocks that go to Spark at a time.
+AT_ONCE = 16
 #: Words up to so many bytes are hashed together; longer ones one by one.
 SHORT = 64
 U = np.uint64
@@ -315,7 +317,9 @@ def _counter(buckets: int):
             for kind in (0, 1):
                 key, n = np.unique(np.concatenate(held[kind]), return_counts=True)
                 held[kind].clear()
-                yield _blocks(kind, key, buckets, n.astype(np.uint32))
+                blocks = _blocks(kind, key, buckets, n.astype(np.uint32))
+                for at in range(0, blocks.num_rows, AT_ONCE):
+                    yield blocks.slice(at, AT_ONCE)
 
         for _, sizes, h in token_rows(batches):
             held[0].append(h)
@@ -448,7 +452,8 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     # does all fit in the filter?  Else the bigrams of the lowest levels, and rare contexts, are joined
     per_level = _histogram(pair_blocks)
     rare = contexts.select("keys", "size", "taken").mapInArrow(lambda it: unpacked(it, False), kind)
-    rare_blocks = staged(rare.mapInArrow(_context_blocks(buckets), f"{_BLOCK}, entries long, levels long").groupBy("bucket").applyInArrow(_gather, "bucket long, keys binary, counts binary, entries long, levels long"))
+    entries = contexts.select("keys", "size", "taken").mapInArrow(lambda it: _context_blocks(unpacked(it, False), buckets), f"{_BLOCK}, entries long, levels long")
+    rare_blocks = staged(entries.groupBy("bucket").applyInArrow(_gather, "bucket long, keys binary, counts binary, entries long, levels long"))
     total = rare_blocks.agg(F.sum("entries").alias("e"), F.sum("levels").alias("l")).first()
     rare_bits = _bits_for(int(total.e or 0), int(total.l or 0)) + 128 * buckets
     need = lambda q0: sum(_bits_for(k, k * q) for q, k in per_level.items() if q >= q0) + 128 * buckets
@@ -488,25 +493,20 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     return Model(n, v, counts, spark.sparkContext.broadcast((names, c, mine, mass, (pairs.bits, pairs.base), (others.bits, others.base))), rest)
 
 
-def _context_blocks(buckets: int):
+def _context_blocks(batches, buckets: int):
     """Rare contexts as filter entries: each under two keys, for its total and for what its bigrams take."""
-
-    def step(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            context = b.column(0).to_numpy().view(U)
-            key = np.r_[context ^ _CONTEXT_COUNT, context ^ _CONTEXT_TAKEN]
-            level = np.r_[_fine_level(b.column(1).to_numpy()), _fine_level(b.column(2).to_numpy())]
-            order = np.argsort(key)
-            key, level = key[order], level[order]
-            got = _blocks(3, key, buckets, level)
-            sizes = [len(x) // 8 for x in got.column(2).to_pylist()]
-            ends = np.cumsum([0, *sizes])
-            sums = [int(level[i:j].sum()) for i, j in zip(ends[:-1], ends[1:])]
-            yield arrow(**{name: got.column(i) for i, name in enumerate(got.schema.names)}, entries=sizes, levels=sums)
-
-    return step
+    for b in batches:
+        if not b.num_rows:
+            continue
+        context = b.column(0).to_numpy().view(U)
+        key = np.r_[context ^ _CONTEXT_COUNT, context ^ _CONTEXT_TAKEN]
+        level = np.r_[_fine_level(b.column(1).to_numpy()), _fine_level(b.column(2).to_numpy())]
+        order = np.argsort(key)
+        key, level = key[order], level[order]
+        got = _blocks(3, key, buckets, level)
+        ends = np.cumsum([0, *(len(x) // 8 for x in got.column(2).to_pylist())])
+        sums = [int(level[i:j].sum()) for i, j in zip(ends[:-1], ends[1:])]
+        yield arrow(**{name: got.column(i) for i, name in enumerate(got.schema.names)}, entries=np.diff(ends), levels=sums)
 
 
 def _gather(t: pa.Table) -> pa.Table:
