@@ -1,14 +1,18 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-Pages of one host are dealt into groups of bounded size.  A page is a sequence of
-tokens: tags and words, told apart by the structural path at which they stand (in
-the article, whole blocks are the tokens).  Tokens that share an occurrence vector
-over a group's pages form an equivalence class; classes that occur once in every
-page, in one order, are the template, and other constant classes nest in its slots
-(Arasu and Garcia-Molina, "Extracting structured data from web pages", 2003).
-What the template leaves open are the slots; the main text is what fills the slots
-of the article, or where a page has none, all slots outside navigation, notices,
-adverts, forms and comments.
+Pages of one host are dealt into groups of bounded size, and hosts of few pages share
+a group.  A page is a sequence of tokens: tags, blocks of text, and the words of short
+blocks, told apart by the labelled path (tag, class and id of each element) at which
+they stand.  Tokens that share an occurrence vector over a host's pages form an
+equivalence class; classes that occur once in every page, in one order, are the
+template, and other constant classes nest in its slots (Arasu and Garcia-Molina,
+"Extracting structured data from web pages", 2003).
+
+What the template leaves open fills its slots.  The article's slot is found by how
+the open text is spread over the template's elements in all pages of the group: from
+the root, the slot is narrowed to the element that holds most of it, whatever its
+name.  A class is template only if it rests on ``SUPPORT`` different pages or more;
+near copies of a page count once, for they agree in most blocks of the article.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +30,12 @@ from ._base import arrow, cut, table
 
 #: Pages that one group is meant to hold.
 GROUP = 64
-#: In smaller groups no text is taken for template, for chance copies could pass as one.
-LEAST_PAGES = 8
+#: The least different pages that a class or a label rests on (the method's support threshold).
+SUPPORT = 3
+#: Share of the open text at which a slot is narrowed to one of its elements.
+MOST = 0.5
+#: Blocks of up to so many words also count by their words.
+SHORT = 8
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|canvas|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -35,46 +44,59 @@ _TOKEN = re.compile(
 _BLOCKS = set("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tr td th blockquote pre section article main header footer nav aside form fieldset figure figcaption address hr br body html head title".split())
 #: Elements that make a path; all others are often left open and only mark up text.
 _STRUCTURE = set("html head body div section article main header footer nav aside form fieldset ul ol table dl figure menu dialog details".split())
+#: Elements that the slot may be narrowed to; lists and tables are part of a text.
+_NARROW = set("html body div section article main header".split())
+#: Elements whose path starts anew.
+_LANDMARKS = {"article", "main"}
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | {"p", "blockquote", "pre"}
 _PARAGRAPHS = set("p li blockquote pre td address".split())
 _VOID = set("br hr img input meta link source area base col embed track wbr".split())
-_OUTSIDE = set("head nav header footer aside form fieldset menu dialog".split())
-#: Parts of class and id names that mark what isn't the article's text.
-_MARKED = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header footer masthead toolbar pagination pager comment comments reply replies respond disqus discussion related recommended share sharing social subscribe newsletter signup login popup modal overlay form search".split()
-)
+#: Elements that by the meaning of HTML aren't the text of the article that they stand in.
+_ASIDE = set("head nav footer aside form fieldset menu dialog".split())
+#: Labels of reader comments and adverts within an article, which differ from page to page as its text does.
+_FOREIGN = set("comment comments disqus ad ads advert adverts advertisement advertising sponsored".split())
+#: Labels of notices and the like; used only for pages of which a group has less than SUPPORT, so that nothing can be deduced.
+_UNPROVEN = set("share sharing social subscribe newsletter notice notices cookie cookies consent promo banner sidebar".split())
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
-ARTICLE, OTHER, OUT = 2, 1, 0
-
-
-def _zone(tag: str, attrs: str, zone: int) -> int:
-    """Zone of what an element holds: in the article, outside, or undecided."""
-    marks: set[str] = set()
-    if attrs:
-        for m in _CLASS.findall(attrs):
-            marks.update(re.split(r"[^a-z0-9]+", m.lower()))
-    if tag in ("article", "main") or "main" in marks and tag in ("div", "section"):
-        return OUT if marks & {"comment", "comments", "reply"} else ARTICLE
-    if zone == ARTICLE:  # an article's own header holds its title
-        marks.discard("header")
-    if tag in _OUTSIDE and not (tag == "header" and zone == ARTICLE) or marks & _MARKED:
-        return OUT
-    return zone
-
-
-def parse(page: str | None) -> list[tuple[str, str, int]]:
-    """Tokens (path, text, zone); tags have a text that starts with "<", and a text token is a block's whole text."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, int]] = [("", "", OTHER)]  # tag, path, zone
+
+
+def _label(tag: str, attrs: str) -> str:
+    """Tag with its class, id and role; numbers in these, which often are the page's, are left out."""
+    if not attrs or "=" not in attrs:
+        return tag
+    marks = {re.sub(r"[0-9]+", "#", w) for m in _CLASS.findall(attrs) for w in m.strip("\"'").lower().replace("/", "-").split()}
+    return ".".join([tag, *sorted(marks)])
+
+
+def _marks(label: str) -> set[str]:
+    return {w for part in label.split(".")[1:] for w in re.split(r"[^a-z]+", part)}
+
+
+@dataclass(frozen=True, slots=True)
+class Token:
+    """A tag ("<nav>", "</nav>") or a block of text at a labelled path; ``of`` is the label of the block's own element."""
+
+    path: str
+    text: str
+    of: str = ""
+    tag: bool = False
+
+
+def parse(page: str | None) -> list[Token]:
+    """Tokens of a page; scripts, styles and comments have none."""
+    out: list[Token] = []
+    stack: list[tuple[str, str]] = [("", "")]  # tag, path
     held: list[str] = []
-    own = None  # zone of the paragraph at hand, if its class sets one
+    own = ""
 
     def end_block():
         if held:
             text = _SPACE.sub(" ", "".join(held)).strip()
             held.clear()
             if text:
-                out.append((stack[-1][1], text, stack[-1][2] if own is None else own))
+                out.append(Token(stack[-1][1], text, own))
 
     page, at = page or "", 0
     for m in _TOKEN.finditer(page):
@@ -86,7 +108,8 @@ def parse(page: str | None) -> list[tuple[str, str, int]]:
             continue
         if tag in _BLOCKS:
             end_block()
-            own = OUT if tag in _PARAGRAPHS and not m[2] and _zone(tag, m[4], stack[-1][2]) == OUT else None
+            if tag != "br":
+                own = _label(tag, m[4]) if not m[2] and (tag in _PARAGRAPHS or tag in _HEADINGS) else ""
         if tag not in _STRUCTURE:
             continue
         if m[2]:
@@ -94,32 +117,33 @@ def parse(page: str | None) -> list[tuple[str, str, int]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            out.append((stack[-1][1], f"</{tag}>", stack[-1][2]))
+            out.append(Token(stack[-1][1], f"</{tag}>", tag=True))
         else:
-            if tag in ("article", "main") and stack[-1][2] == OUT and not any(t in ("article", "main") for t, _, _ in stack):
-                while len(stack) > 1 and stack[-1][2] == OUT:  # the page left something open before its article
-                    stack.pop()
-            zone = _zone(tag, m[4], stack[-1][2])
-            out.append((stack[-1][1], f"<{tag}>", zone))
+            up = stack[-1][1]
+            if tag in _LANDMARKS and not any(t in _LANDMARKS for t, _ in stack):
+                up = ""  # what was left open before it doesn't hold it
+            path = f"{up}/{_label(tag, m[4])}"
+            out.append(Token(path, f"<{tag}>", tag=True))
             if tag not in _VOID and not (m[4] or "").endswith("/"):
-                stack.append((tag, f"{stack[-1][1]}/{tag}", zone))
+                stack.append((tag, path))
     if at < len(page):
         held.append(_html.unescape(page[at:]))
     end_block()
     return out
 
 
-def _atoms(tokens: list[tuple[str, str, int]]):
-    """Tokens as the classes see them: words one by one, but whole blocks in the article."""
-    for path, text, zone in tokens:
-        if text[0] == "<" or zone == ARTICLE:
-            yield path, text
-        else:
-            for w in text.split():
-                yield path, w
+def _atoms(tokens: list[Token]):
+    """Tokens as the classes see them: (path, text) of tags and blocks, and of the words of short blocks that aren't prose."""
+    for t in tokens:
+        yield t.path, t.text
+        if not t.tag and " " in t.text and t.of.split(".")[0] not in _PROSE:
+            words = t.text.split(" ", SHORT)
+            if len(words) <= SHORT:
+                for w in words:
+                    yield t.path, w
 
 
-def template(pages: list[list[tuple[str, str, int]]]) -> tuple[list[tuple[str, str]], dict[int, list[tuple[str, str]]]]:
+def template(pages: list[list[Token]]) -> tuple[list[tuple[str, str]], dict[int, list[tuple[str, str]]]]:
     """(root, nested): the ordered tokens that occur once in each page, and by slot the constant classes that nest there.
 
     The valid root class is the longest ordered beginning: tokens that don't stand in one order in all pages are left
@@ -162,37 +186,154 @@ def template(pages: list[list[tuple[str, str, int]]]) -> tuple[list[tuple[str, s
     return root, dict(nested)
 
 
-def fill(tokens: list[tuple[str, str, int]], fixed: set[tuple[str, str]]) -> list[str]:
-    """Blocks that fill the slots of the main zone."""
-    main = max((z for _, t, z in tokens if t[0] != "<" or z == ARTICLE), default=OTHER)
-    if main == OUT:
-        return []
-    out = []
-    for path, text, zone in tokens:
-        if zone != main or _is_tag(text):
-            continue
-        if (path, text) in fixed or zone != ARTICLE and all((path, w) in fixed for w in text.split()):
+def _parents(path: str) -> list[str]:
+    """``path`` and all paths above it, from the root on; the root is the empty path."""
+    parts = path.split("/")
+    return ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+
+@dataclass
+class Template:
+    """What a group of pages has in common."""
+
+    #: Blocks (path, text) that are part of the template, by host; "" holds for all.
+    fixed: dict[str, set[tuple[str, str]]] = field(default_factory=dict)
+    #: By element: open words in it, open words in what holds it, pages that have it, and pages with an open heading right in it.
+    spread: dict[str, list[float]] = field(default_factory=lambda: defaultdict(lambda: [0.0, 0.0, 0.0, 0.0]))
+    #: Pages on which an element or block of this label was seen within the article, and outside.
+    inside: Counter = field(default_factory=Counter)
+    outside: Counter = field(default_factory=Counter)
+    #: Whether the group has too few pages to deduce anything, so that the meaning of tags and labels must do.
+    unproven: bool = False
+
+    def main(self, tokens: list[Token]) -> str | None:
+        """Path of the element that holds the article of a page; the root where the template tells nothing."""
+        below: dict[str, dict[str, None]] = defaultdict(dict)
+        for t in tokens:
+            if t.tag and t.text[1] != "/":
+                if self.unproven and t.path[1:].split(".")[0] in _LANDMARKS:
+                    return t.path
+                below[t.path.rpartition("/")[0]][t.path] = None
+        at = ""
+        while True:
+            own = self.spread.get(at)
+            if own and own[2] and own[3] > MOST * own[2]:
+                return at  # its heading is part of it
+            share = lambda c: self.spread[c][0] / self.spread[c][1] if c in self.spread and self.spread[c][1] else 0.0
+            best = max(below.get(at, ()), key=share, default=None)
+            if best is None or share(best) <= MOST or best.rpartition("/")[2].split(".")[0] not in _NARROW:
+                return at
+            at = best
+
+    def foreign(self, label: str) -> bool:
+        """Whether what bears this label isn't the article's, though it stands in it."""
+        tag = label.split(".")[0]
+        if tag in _ASIDE:
+            return True
+        if "." not in label:
+            return False
+        if self.outside[label] >= SUPPORT and not self.inside[label]:
+            return True  # elements of this label are the template's
+        return bool(_marks(label) & (_FOREIGN | _UNPROVEN if self.unproven else _FOREIGN))
+
+    def blocks(self, tokens: list[Token], host: str = "") -> list[str]:
+        """Blocks that fill the article's slot of a page; all blocks of it if the template tells nothing."""
+        main = self.main(tokens)
+        if not main and not self.unproven:
+            return [t.text for t in tokens if not t.tag]
+        common, own = self.fixed.get("", ()), self.fixed.get(host, ())
+        drop: dict[str, bool] = {}
+
+        def out(path: str) -> bool:
+            found = drop.get(path)
+            if found is None:
+                up, _, label = path.rpartition("/")
+                found = drop[path] = len(path) > len(main) and (self.foreign(label) or out(up))
+            return found
+
+        got = []
+        for t in tokens:
+            if t.tag or not (t.path == main or t.path.startswith(main + "/")) or out(t.path) or t.of and self.foreign(t.of):
+                continue
+            if (t.path, t.text) not in common and (t.path, t.text) not in own:
+                got.append(t.text)
+        return got
+
+
+def _classes(pages: list[list[Token]]) -> set[tuple[str, str]]:
+    """Blocks of the template of these pages."""
+    root, nested = template(pages)
+    fixed = {*root, *(a for atoms in nested.values() for a in atoms)}
+    return fixed & {(t.path, t.text) for t in pages[0] if not t.tag}
+
+
+def different(pages: list[list[Token]]) -> list[list[Token]]:
+    """Pages without copies and near copies: those that share over half of their long blocks with one that is kept."""
+    kept: list[list[Token]] = []
+    where: dict[object, list[int]] = defaultdict(list)
+    for p in pages:
+        keys: set = {t.text for t in p if not t.tag and t.text.count(" ") >= SHORT} or {tuple(t.text for t in p)}
+        shared = Counter(i for k in keys for i in where.get(k, ()))
+        if shared and 2 * max(shared.values()) > len(keys):
             continue
-        out.append(text)
+        for k in keys:
+            where[k].append(len(kept))
+        kept.append(p)
+    return kept
+
+
+def deduce(pages: list[list[Token]], hosts: list[str]) -> Template:
+    """The template of a group.  Copies and near copies of a page on a host count once, for what they share is text."""
+    of: dict[str, list[list[Token]]] = defaultdict(list)
+    for p, h in zip(pages, hosts, strict=True):
+        if p:
+            of[h].append(p)
+    by_host = {h: different(v) for h, v in of.items()}
+    all_ = different([p for v in by_host.values() for p in v])
+    out = Template(unproven=len(all_) < SUPPORT)
+    if out.unproven:
+        return out
+    out.fixed = {h: _classes(v) for h, v in by_host.items() if len(v) >= SUPPORT}
+    if len(by_host) > 1:
+        out.fixed[""] = _classes(all_)
+    for h, pages_ in by_host.items():
+        fixed = out.fixed.get(h, set()) | out.fixed.get("", set())
+        for p in pages_:
+            words: Counter = Counter()
+            heads, paths = set(), {up for t in p for up in _parents(t.path)}
+            for t in p:
+                if not t.tag and (t.path, t.text) not in fixed:
+                    n = t.text.count(" ") + 1
+                    for up in _parents(t.path):
+                        words[up] += n
+                    if t.of.split(".")[0] in _HEADINGS:
+                        heads.add(t.path)
+            for path in paths:
+                own = out.spread[path]
+                own[0] += words[path]
+                own[1] += words[path.rpartition("/")[0]]
+                own[2] += 1
+                own[3] += path in heads
+    for p in all_:
+        main = out.main(p)
+        labels: tuple[set, set] = (set(), set())
+        for t in p:
+            within = t.path.startswith(main + "/") or not t.tag and t.path == main
+            if t.tag and t.text[1] != "/" and not main.startswith(t.path):
+                labels[within].add(t.path.rpartition("/")[2])
+            elif t.of:
+                labels[within].add(t.of)
+        out.outside.update(labels[0])
+        out.inside.update(labels[1])
     return out
 
 
-def _is_tag(text: str) -> bool:
-    return text[0] == "<" and text[-1] == ">" and text.strip("</>") in _STRUCTURE
-
-
-def group_texts(pages: list[str | None]) -> list[str]:
-    """Main text of each page of one group, through the group's template."""
+def group_texts(pages: list[str | None], hosts: list[str] | None = None, known: Template | None = None) -> list[str]:
+    """Main text of each page of one group, through the group's template or the ``known`` one."""
     parsed = [parse(p) for p in pages]
-    root, nested = template(parsed)
-    fixed: set[tuple[str, str]] = set()
-    if len(pages) >= LEAST_PAGES:
-        fixed = set(root) | {a for atoms in nested.values() for a in atoms}
-        # copies of one article agree in all; then nothing tells template from text
-        open_ = ["\n".join(fill(t, fixed)) for t in parsed]
-        if len(set(open_)) * 2 <= len(pages):
-            fixed = {a for a in fixed if not any(z == ARTICLE or z == OTHER for t in parsed[:1] for p, x, z in t if (p, x) == a)}
-    return ["\n".join(fill(t, fixed)) for t in parsed]
+    hosts = hosts or [""] * len(pages)
+    known = known or deduce(parsed, hosts)
+    return ["\n".join(known.blocks(t, h)) for t, h in zip(parsed, hosts, strict=True)]
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
@@ -200,21 +341,23 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
 
     Null html gives an empty text; rows with a null url form a host of their own; repeated rows and null ids stay;
     an empty table gives no row; other columns are ignored, whatever their names.  A host of any size is dealt into
-    groups of about ``group`` pages by a hash, so no group grows with the input.
+    groups of about ``group`` pages by a hash, and hosts of fewer pages are put together, each whole, into groups of
+    about that size, so no group grows with the input.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     counts = cut(src.select(host.alias("name")).groupBy("name").count())
-    few = counts.count() <= 100_000
-    counts = F.broadcast(counts) if few else counts  # checked: one short row a host
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("count") / group))
-    dealt = src.withColumn("host", host).join(counts, F.col("host") == F.col("name")).select("page_id", "url", "html", "host", salt.alias("salt"))
+    sums = counts.agg(F.count("*").alias("hosts"), F.sum(F.when(F.col("count") <= group, F.col("count"))).alias("small")).first()
+    counts = F.broadcast(counts) if sums.hosts <= 100_000 else counts  # checked: one short row a host
+    large = F.col("count") > group
+    salt = F.when(large, F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("count") / group))).otherwise(F.pmod(F.xxhash64("host"), F.lit(-(-int(sums.small or 0) // group) or 1)))
+    dealt = src.withColumn("host", host).join(counts, F.col("host") == F.col("name")).select("page_id", "url", "html", "host", F.when(large, F.col("host")).alias("whose"), salt.alias("salt"))
 
     def texts(t: pa.Table) -> pa.Table:
-        found = group_texts(t.column("html").to_pylist())
+        found = group_texts(t.column("html").to_pylist(), t.column("host").to_pylist())
         return pa.Table.from_batches([arrow(page_id=t.column("page_id").combine_chunks(), url=t.column("url").combine_chunks(), text=pa.array(found, pa.string()), n_chars=[len(x) for x in found])])
 
-    return dealt.groupBy("host", "salt").applyInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return dealt.groupBy("whose", "salt").applyInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,56 @@ def test_extract(spark):
     assert by[None] == "no id" and by[900] == "no url" and by[901] == "" and by[902] == ("w " * 50000).strip()
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract.extract(df.limit(0)).count() == 0
+
+
+def like_the_data(i, body, host="h", nav="One Two", ad="x"):
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in nav.split())
+    return f'<!DOCTYPE html><html lang="en"><head><title>T {i}</title></head><body><nav><ul>{menu}</ul></nav><div class="ad">{ad}</div><article><h1>T {i}</h1>{body}</article><footer>&copy; {host} &middot; f{i}</footer></body></html>'
+
+
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7))) for _ in range(n))
+
+
+def test_template_decides():
+    """Pages like those of the data: the slot comes from the group's template; without it nothing is left out."""
+    rnd = random.Random(2)
+    paras = [[words(rnd, rnd.randrange(4, 40)) for _ in range(rnd.randrange(1, 6))] for _ in range(12)]
+    html = [like_the_data(i, "".join(f"<p>{p}</p>" for p in ps), ad=words(rnd, 9)) for i, ps in enumerate(paras)]
+    want = ["\n".join([f"T {i}", *ps]) for i, ps in enumerate(paras)]
+    assert extract.group_texts(html) == want
+    emptied = extract.group_texts(html, known=extract.Template())
+    assert all(e != w and "©" in e and "One" in e for e, w in zip(emptied, want))
+    # elements that have other names: what holds most of the open text is the slot, and an advert's words don't count
+    plain = [h.replace("article>", "section>").replace("<section>", '<section class="x">').replace("nav>", "div>").replace("footer>", "div>").replace('class="ad"', 'class="zzz"') for h in html]
+    assert extract.group_texts(plain) == want
+    # an element that is the template's elsewhere isn't the article's
+    inner = [h.replace("</h1>", f'</h1><section class="ad">{words(rnd, 5)}</section>').replace('<div class="ad">', '<section class="ad">') for h in html]
+    assert extract.group_texts(inner) == want
+
+
+def test_labelled_text_stays():
+    rnd = random.Random(3)
+    html = [like_the_data(i, f'<p>{words(rnd, 20)}</p><p class="alert">own {i} alert</p><div class="related"><p>see {i} too</p></div>') for i in range(9)]
+    got = extract.group_texts(html)
+    assert all(f"own {i} alert" in t and f"see {i} too" in t for i, t in enumerate(got))
+
+
+def test_few_pages_and_copies():
+    rnd = random.Random(4)
+    for n in (3, 7, 8):  # an unmarked line that is the same on all pages of a host
+        html = [like_the_data(i, f"<p>Always this line</p><p>{words(rnd, 30)}</p><p>{words(rnd, 30)}</p>") for i in range(n)]
+        assert not any("Always" in t for t in extract.group_texts(html))
+    # copies of a page don't make it template, nor do near copies
+    paras = [words(rnd, 12) for _ in range(8)]
+    near = [like_the_data(i, "".join(f"<p>{p}</p>" for p in [*paras, f"edit {i}"])) for i in range(5)]
+    assert all(set(paras) <= set(t.split("\n")) for t in extract.group_texts(near + near[:1] * 9))
+    # hosts of one page learn from each other where the article is
+    html = [like_the_data(i, f"<p>{words(rnd, 25)}</p>", host=f"h{i}", nav=words(rnd, 3), ad=words(rnd, 6)).replace("article>", "section>") for i in range(20)]
+    got = extract.group_texts(html, [f"h{i}" for i in range(20)])
+    assert all(t.startswith(f"T {i}\n") and t.count("\n") == 1 for i, t in enumerate(got))
+
+
+def test_nulls_and_empty():
+    assert extract.group_texts([]) == []
+    assert extract.group_texts([None, "", "plain words", "<p>", "<b>x</b>"]) == ["", "", "plain words", "", "x"]
