@@ -114,9 +114,9 @@ def _keys(docs: DataFrame) -> list[Column]:
 def decided(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, source, size, text (hash), n, base, extra, source_size, target: of the ``n`` rows that agree in the first four, ``extra`` are taken base + 1 times, the others base times."""
     units = cut(docs.select(*_keys(docs)).groupBy("doc_id", "source", "size", "text").agg(F.count("*").alias("n")).withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")))
-    kinds = cut(units.groupBy("source", "class").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("units")))
-    stats = cut(targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
-    kinds = kinds.join(stats, kinds["source"].eqNullSafe(stats["source"])).select(kinds["source"].alias("name"), F.col("class").alias("c"), "units", "source_size", "target")
+    kinds = units.groupBy("source", "class").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("units"))
+    stats = targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("source", "name")
+    kinds = cut(kinds.join(stats, F.col("source").eqNullSafe(F.col("name"))).select("name", F.col("class").alias("c"), "units", "source_size", "target"))
     top = kinds.agg(F.max("units").alias("units"), F.count("*").alias("kinds")).first()
     kinds = F.broadcast(kinds) if top.kinds <= 100_000 else kinds  # checked: a few rows a source, or joined by shuffling
     rate = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), F.lit(most))
@@ -143,8 +143,8 @@ def decided(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     done = cut(_root(ends))
     for d in out:
         done = done.unionByName(d)
-    small = F.broadcast(stats) if top.kinds <= 100_000 else stats
-    s = small.select(F.col("source").alias("name"), "source_size", "target")
+    s = kinds.select("name", "source_size", "target").distinct()
+    s = F.broadcast(s) if top.kinds <= 100_000 else s
     done = done.join(s, F.col("source").eqNullSafe(F.col("name")))
     return done.select("k.doc_id", "source", "k.size", "k.text", "k.n", F.floor(rate).cast("long").alias("base"), (F.col("k.sure") + F.col("extra")).alias("extra"), "source_size", "target")
 
