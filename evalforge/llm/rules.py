@@ -9,13 +9,14 @@ ordered rules are one Spark conditional expression, applied to every row.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import staged, table
+from ._base import bounded, staged, table
 
 _SPACE = " \t\n\x0b\x0c\r"
 WINDOW = 8
@@ -176,12 +177,13 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]
     """Rules from at most ``rows`` labelled rows that pass the base rules; ids that carry both labels are left out."""
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     one = one.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("doc_id", "y")
-    named = stats.where(~base_failed()).join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = named.select("y", *[F.expr(e).cast("double").alias(c) for c, e in RATIOS.items()]).collect()
+    named = stats.where(~base_failed()).join(one, "doc_id").select("doc_id", "y", *[F.expr(e).cast("double").alias(c) for c, e in RATIOS.items()])
+    got = [list(r) for r in bounded(named, F.xxhash64("doc_id"), rows).collect()]
     if not got:
         return []
-    x = np.array([list(r)[1:] for r in got], float)
-    return learn(x, np.array([r.y == 0 for r in got]), list(RATIOS))
+    got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))  # the order decides what a rule is pruned on
+    x = np.array([r[2:] for r in got], float)
+    return learn(x, np.array([r[1] == 0 for r in got]), list(RATIOS))
 
 
 def verdict(rules: list[Rule]) -> Column:
