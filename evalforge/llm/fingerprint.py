@@ -4,7 +4,8 @@ A paragraph (line) is hashed to a wide vector, and a document is the sum of its
 paragraphs' vectors: the order of paragraphs doesn't matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector.  The vector has
 
-* ``EXACT`` lanes modulo 2**64 from a 512-bit digest of the paragraph, for equality of multisets;
+* ``EXACT`` lanes modulo 2**64 from a 2048-bit digest of the paragraph (SHAKE-256), for equality of multisets: so wide
+  that a second multiset with the same sums costs some 2**90 steps even by generalised birthday search;
 * ``SKETCH`` lanes modulo 2**16, to which each pair of neighbouring words adds +1 or -1 in one lane, so that the
   cosine of two documents' lanes estimates how much of their wording they share (a signed count sketch is linear too).
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._base import arrow, cut, pieces, table
 
-EXACT, SKETCH = 8, 256
+EXACT, SKETCH = 32, 256
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 500_000
 
@@ -44,7 +46,7 @@ def vector(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the paragraphs' vectors: EXACT lanes (uint64) and SKETCH lanes (int64, not yet reduced)."""
     if not paragraphs:
         return np.zeros(EXACT, np.uint64), np.zeros(SKETCH, np.int64)
-    digests = b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass")).digest() for p in paragraphs)
+    digests = b"".join(hashlib.shake_256(p.encode("utf-8", "surrogatepass")).digest(8 * EXACT) for p in paragraphs)
     exact = np.frombuffer(digests, "<u8").reshape(-1, EXACT).sum(0, dtype=np.uint64)
     seq = ["\n"]  # ends a paragraph and starts the next, so each pair belongs to one paragraph
     for p in paragraphs:
@@ -113,26 +115,58 @@ def replaced(text: str, new: str, v):
     return edited, v
 
 
+def _own_task(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of ``parts`` parts, such that hashing these numbers to ``parts`` tasks gives each part a task of its own."""
+    found: dict[int, int] = {}
+    upto = 16 * parts + 64
+    while len(found) < parts:
+        got = spark.range(upto, numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("to")).groupBy("to").agg(F.min("id").alias("id")).collect()
+        found = {r.to: r.id for r in got}
+        upto *= 2
+    return [found[i] for i in range(parts)]
+
+
 def _order(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text, part) with rows dealt by id ranges, largest ids first, and each part followed by the next part's first row.
 
-    The bounds are quantiles of the ids (``parts`` numbers).  The row after a part is sent to it as well; after the
+    The bounds are quantiles of the ids (``parts`` numbers).  An id that holds a part's share of all rows or more, null
+    among them, is cut further by ranges of its texts' hashes.  The row after a part is sent to it as well; after the
     last comes the first.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = src.select("doc_id")
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    spark = docs.sparkSession
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    quantiles = [int(x) for x in src.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    counts = src.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    # an id that is several quantiles holds several parts' share of the rows
+    often: dict[int | None, int] = {i: k + 1 for i, k in Counter(quantiles).items() if k > 1}
+    if counts.none * parts > counts.n:
+        often[None] = -(-counts.none * parts // counts.n)
+    bounds = sorted({*quantiles, *(x for i in often if i is not None for x in (i, i + 1) if x < 1 << 63)})
+    # parts are numbered from the largest ids down; null ids come last
     part = F.lit(0)
-    if bounds:  # parts are numbered from the largest ids down; null ids come last
-        part = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(len(bounds) - F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id"))))
-    dealt = src.withColumn("part", part)
-    heads = cut(ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("head"), F.count("*").alias("n")))
-    turn = Window.orderBy("part")
-    whole = Window.partitionBy()
-    to = heads.withColumn("to", F.coalesce(F.lag("part").over(turn), F.max("part").over(whole))).select("head", F.col("part").alias("of"), "to")
-    guests = dealt.join(F.broadcast(to), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("guest"))
-    rows = dealt.withColumn("guest", F.lit(False)).unionByName(guests)
-    return rows.repartition(parts * 3, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    if bounds:
+        part = len(bounds) - F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id")))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(part)
+    pieces_ = F.lit(1)
+    for i, k in often.items():
+        pieces_ = F.when(F.col("doc_id").eqNullSafe(F.lit(i).cast("long")), k).otherwise(pieces_)
+    most = max(often.values(), default=1)
+    within = F.least(F.floor((F.col("hash") / float(1 << 64) + 0.5) * pieces_), pieces_ - 1)
+    dealt = src.withColumn("part", (part * most + within).cast("int"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "hash").alias("first")
+    heads = cut(dealt.select("part", first).groupBy("part").agg(F.min("first").alias("first")))
+    order = [r.part for r in heads.select("part").orderBy("part").collect()]
+    named = spark.createDataFrame([(p, order[i - 1], i, i - 1 if i else len(order) - 1) for i, p in enumerate(order)], "of int, before int, number int, to int") if order else None
+    if named is None:
+        return dealt.select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("guest")).limit(0)
+    heads = heads.join(F.broadcast(named), F.col("part") == F.col("of")).select("of", "to", "first.*")
+    # of rows that agree in id and hash any is the first
+    same = (F.col("part") == F.col("of")) & F.bitwise_not("doc_id").eqNullSafe(F.col("down")) & (F.col("hash") == F.col("h"))
+    guests = dealt.join(F.broadcast(heads.withColumnRenamed("hash", "h")), same).dropDuplicates(["of"]).select("doc_id", "text", "hash", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    own = dealt.join(F.broadcast(named), F.col("part") == F.col("of")).select("doc_id", "text", "hash", F.col("number").alias("part"), F.lit(False).alias("guest"))
+    tasks = _own_task(spark, len(order))
+    rows = own.unionByName(guests).withColumn("task", F.element_at(F.array(*[F.lit(t).cast("long") for t in tasks]), F.col("part") + 1))
+    return rows.repartition(len(order), "task").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "hash").select("doc_id", "text", "part", "guest")
 
 
 def edits(docs: DataFrame) -> DataFrame:

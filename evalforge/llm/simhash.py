@@ -29,6 +29,8 @@ SEGMENTS, BITS = 16, 4
 #: A cell's run of fingerprints is compared pairwise up to this length; longer runs take the linear way.
 PAIRS_UP_TO = 48
 SEED = 42
+#: Fingerprints of over one in so many rows are joined by a broadcast of so many rows at most.
+HOT = 1000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -79,6 +81,11 @@ def _grid(fps: DataFrame) -> DataFrame:
 def _links(batches):
     """Over rows sorted by (cell, fp): verified pairs of short runs as (a, b, 0), members of long runs as (fp, fp, 1)."""
     held_c, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
+    hot_cell = None  # a cell whose run is too long already: its members go on as they come, and none is held
+
+    def members(f):
+        f = np.unique(f)
+        return arrow(a=f, b=f, hot=np.ones(len(f), bool))
 
     def emit(c, f):
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
@@ -104,12 +111,22 @@ def _links(batches):
     for batch in batches:
         c = np.concatenate([held_c, batch.column(0).to_numpy(zero_copy_only=False)])
         f = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False)])
+        if hot_cell is not None:
+            more = int(np.searchsorted(c, hot_cell, side="right"))
+            if more:
+                yield members(f[:more])
+            c, f = c[more:], f[more:]
         if not len(c):
             continue
-        last = np.searchsorted(c, c[-1])  # the last run may go on in the next batch
+        last = int(np.searchsorted(c, c[-1]))  # the last run may go on in the next batch
         held_c, held_f = c[last:], f[last:]
         if last:
             yield emit(c[:last], f[:last])
+        hot_cell = None
+        if len(held_c) > PAIRS_UP_TO:
+            hot_cell = c[-1]
+            yield members(held_f)
+            held_c, held_f = held_c[:0], held_f[:0]
     if len(held_c):
         yield emit(held_c, held_f)
 
@@ -173,11 +190,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives no row; other columns of ``docs`` are ignored, whatever their names.
     """
     own = cut(fingerprints(docs, id_col, text_col))
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     rooted = _rooted(fps)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(rooted.join(least, "root").select("fp", "component_id", "n"))
+    # copies of one text: the fingerprints of more than a thousandth of all rows, a thousand at most, are broadcast
+    edge = (fps.agg(F.sum("n")).first()[0] or 0) // HOT + 1
+    often = F.broadcast(by_fp.where(F.col("n") >= edge).select("fp", F.col("component_id").alias("often"), F.lit(True).alias("found")))
+    told = own.join(often, "fp", "left")
+    rare = told.where("found is null").select("doc_id", "fp").join(by_fp.where(F.col("n") < edge).select("fp", "component_id"), "fp")
+    return told.where("found").select("doc_id", "fp", F.col("often").alias("component_id")).unionByName(rare.select("doc_id", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

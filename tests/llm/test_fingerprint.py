@@ -52,3 +52,33 @@ def test_edits_are_nearer_than_others():
     for t, nxt in zip(texts, texts[1:]):
         _, ev = fp.replaced(t, nxt, fp.text_vector(t))
         assert fp.likeness(fp.text_vector(t), ev) > fp.likeness(fp.text_vector(t), fp.text_vector(nxt)) + 0.1
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows that share an id, or have none, follow each other by their texts' hashes; a third of all rows may do so."""
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(rnd.randrange(1, 30)))
+    rows = [(rnd.choice([None, 7, 7, i, i - 2**63 + 1]), text()) for i in range(400)] + [(2**63 - 1, text()), (-(2**63), text()), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        n = len(r.text) // 3
+        want.append((str(r.doc_id), len(r.text), hashlib.sha256((r.text[: len(r.text) - n] + nxt.text[:n]).encode()).hexdigest()))
+    for parts in (1, 4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = [(str(r.doc_id), r.n_chars, r.edited_sha256) for r in fp.edits(docs).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert sorted(got) == sorted(want)
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fp.op3(spark, str(tmp_path)).collect()}
+    assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint and got[2].near_next == 1.0
+    assert fp.op3(spark, str(tmp_path)).columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -80,3 +80,21 @@ def test_near_dedup_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 6, 7, 8]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_long_runs_over_batches():
+    """A cell's run that goes on over many batches is passed on as it comes; short runs are compared pair by pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    cells = np.sort(np.r_[np.full(500, 5), np.full(3, 7), np.full(300, 9), [11, 11]]).astype(np.int64)
+    fps = np.r_[np.arange(500), [1, 2, 7 << 40], np.arange(300), [4, 7]].astype(np.int64)
+    batches = [pa.record_batch({"cell": cells[i : i + 64], "fp": fps[i : i + 64]}) for i in range(0, len(cells), 64)]
+    got = [r for b in simhash._links(batches) for r in b.to_pylist()]
+    assert {r["a"] for r in got if r["hot"]} == set(range(500))
+    assert {(r["a"], r["b"]) for r in got if not r["hot"]} == {(1, 2), (4, 7)}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, fp string")
+    assert simhash.near_dedup(docs).count() == 0 and simhash.keep_one(docs).count() == 0
