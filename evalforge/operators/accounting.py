@@ -49,6 +49,14 @@ def merged(tables: list[DataFrame], key: list[str], payload: list[str]) -> DataF
     return every.groupBy(*key).agg(F.min(p).alias("p"), (F.count_distinct(p) - 1).alias("conflicts"), F.count("*").alias("copies")).select(*key, "p.*", "copies", "conflicts")
 
 
+def merged_strictly(tables: list[DataFrame], key: list[str], payload: list[str]) -> DataFrame:
+    """Union of ledgers with one row for each key; a key with several payloads is an error when its row is read."""
+    m = merged(tables, key, payload)
+    text = F.concat(F.lit("records that differ: "), F.to_json(F.struct(*key)))
+    checked = F.when(F.col("conflicts") > 0, F.raise_error(text).cast(m.schema[payload[0]].dataType)).otherwise(F.col(payload[0]))
+    return m.withColumn(payload[0], checked).drop("conflicts")
+
+
 def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("turn_", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("turn_ = 1").drop("turn_")

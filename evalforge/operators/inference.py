@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Differences of which all sign patterns are tried.
+MOST_FLIPS = 20
+
+
 def sign_flip_p(differences: str) -> Column:
-    """Exact two-sided p of an array of paired differences: all 2**n sign patterns, as higher-order functions."""
-    n = F.size(differences)
+    """Exact two-sided p of an array of paired differences: all 2**n sign patterns, as higher-order functions.
+
+    More than MOST_FLIPS differences are an error: all their patterns don't fit in a row.
+    """
+    n = F.when(F.size(differences) <= MOST_FLIPS, F.size(differences)).otherwise(F.raise_error(F.lit(f"exact p of over {MOST_FLIPS} differences")).cast("int"))
     signed = lambda mask: F.aggregate(
         F.transform(differences, lambda d, i: F.when(F.floor(mask / F.pow(F.lit(2), i)) % 2 == 1, d).otherwise(-d)), F.lit(0.0), lambda a, d: a + d
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import cut
 from .checks import varying
 
 
@@ -89,29 +90,41 @@ def ancestors(lineage: DataFrame) -> DataFrame:
 
     Ends when a round finds no new pair: then no pair is further apart.  Pairs are finite, so cycles end too.
     """
-    paths = lineage.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("ancestor_id"), F.lit(1).alias("distance")).distinct()
-    count = -1
+    paths = cut(lineage.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("ancestor_id"), F.lit(1).alias("distance")).distinct())
+    count = paths.count()
     while True:
         a = paths.toDF("version_id", "middle", "near")
         b = paths.toDF("middle", "ancestor_id", "far")
         longer = a.join(b, "middle").select("version_id", "ancestor_id", (F.col("near") + F.col("far")).alias("distance"))
-        every = paths.unionByName(longer).groupBy("version_id", "ancestor_id").agg(F.min("distance").alias("distance"))
-        paths = every.checkpoint() if shared(every) else every.localCheckpoint()  # or the plan would triple each round
+        paths = cut(paths.unionByName(longer).groupBy("version_id", "ancestor_id").agg(F.min("distance").alias("distance")))
         now = paths.count()
         if now == count:
             return paths
         count = now
 
 
-def shared(df: DataFrame) -> bool:
-    """Whether the session names a folder for checkpoints."""
-    spark = df.sparkSession
-    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+def on_cycles(lineage: DataFrame) -> DataFrame:
+    """version_id of all versions that are their own ancestor.
+
+    Where no version has two parents, pointers to ancestors are doubled: after as many steps as there are versions, only
+    versions that lead into a cycle still point anywhere, and they point to all of it.  That takes log n joins of one
+    row a version, and no path is kept.  Else all ancestors are found.
+    """
+    edges = cut(lineage.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("to")).distinct())
+    n = edges.count()
+    if edges.groupBy("version_id").count().where("count > 1").isEmpty():
+        steps = 1
+        while steps < n:
+            far = edges.select(F.col("version_id").alias("to"), F.col("to").alias("further"))
+            edges = cut(edges.join(far, "to").select("version_id", F.col("further").alias("to")))
+            steps *= 2
+        return edges.select(F.col("to").alias("version_id")).distinct()
+    return ancestors(lineage).where("version_id = ancestor_id").select("version_id")
 
 
 def lineage_violations(lineage: DataFrame) -> DataFrame:
     """version_id, problem: missing_parent, cycle, or drift of a version's content."""
     missing = lineage.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("p")).join(lineage.select(F.col("version_id").alias("p")).distinct(), "p", "left_anti").select("version_id", F.lit("missing_parent").alias("problem"))
-    cycle = ancestors(lineage).where("version_id = ancestor_id").select("version_id", F.lit("cycle").alias("problem"))
+    cycle = on_cycles(lineage).select("version_id", F.lit("cycle").alias("problem"))
     drift = varying(lineage, ["version_id"], ["content_hash"]).select("version_id", F.lit("content_drift").alias("problem"))
     return reduce(DataFrame.unionByName, [missing, cycle, drift]).distinct()

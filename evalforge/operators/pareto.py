@@ -1,10 +1,11 @@
 """Skyline operators and frontier indicators over vectors in which more is better.
 
-Vectors are ``DOUBLE`` columns v1..vd.  Fronts of large tables are found in two
-steps: each partition reduces its rows to its own skyline (a vectorised block
-nested loop), and only survivors meet in the join that decides.  That is exact for
-strict dominance, which is transitive; with a tolerance it isn't, so the tolerant
-form compares with all rows.
+Vectors are ``DOUBLE`` columns v1..vd.  Each partition reduces its rows to its own
+skyline (a vectorised block nested loop); the survivors of a group then meet in one
+task, those of a table without groups as well if they are few, and else they are
+compared with each other in blocks of bounded size.  With a tolerance, dominance isn't
+transitive, but a row that another strictly dominates dominates nothing that the other
+doesn't, so all rows are compared with the strict skyline alone.
 """
 
 from __future__ import annotations
@@ -16,6 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import cut
+
+#: Rows that one task merges, or that are broadcast at a time.
+MEET = 50_000
+#: Rows that are compared at once.
+BLOCK = 512
+
 
 def dims(df: DataFrame) -> list[str]:
     """v1, v2, .. as far as the table has them."""
@@ -37,42 +45,100 @@ def weakly(a: str, b: str, cols: list[str]) -> Column:
     return reduce(lambda p, q: p & q, [F.col(f"{a}.{c}") >= F.col(f"{b}.{c}") for c in cols])
 
 
+def _beaten(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """For each row of ``v`` whether a row of ``by`` strictly dominates it."""
+    out = np.zeros(len(v), bool)
+    for i in range(0, len(v), BLOCK):
+        x = v[i : i + BLOCK, None, :]
+        left = np.arange(i, min(i + BLOCK, len(v)))
+        for j in range(0, len(by), 4 * BLOCK):
+            y = by[None, j : j + 4 * BLOCK, :]
+            hit = ((y >= x).all(2) & (y > x).any(2)).any(1)
+            out[left[hit]] = True
+            left, x = left[~hit], x[~hit]
+            if not len(left):
+                break
+    return out
+
+
+def skyline(v: np.ndarray) -> np.ndarray:
+    """Indices of rows that no row strictly dominates; the better come first, so no row that is kept has to go again."""
+    order = np.argsort(-v.sum(1), kind="stable")
+    kept = np.empty(0, np.int64)
+    for i in range(0, len(order), BLOCK):
+        part = order[i : i + BLOCK]
+        part = part[~_beaten(v[part], v[kept])]
+        part = part[~_beaten(v[part], v[part])]
+        kept = np.concatenate([kept, part])
+    return np.sort(kept)
+
+
 def local_skyline(df: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Rows of each partition that no row of the partition strictly dominates within its group."""
     cols, group = dims(df), group or []
 
     def step(batches):
-        held: dict[tuple, tuple[np.ndarray, list]] = {}
-        schema = None
+        held: dict[tuple, tuple[np.ndarray, pa.Table]] = {}
         for b in batches:
-            schema = b.schema
-            keys = list(zip(*[b.column(schema.get_field_index(g)).to_pylist() for g in group], strict=True)) if group else [()] * b.num_rows
-            v = np.stack([b.column(schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in cols], 1)
-            order = np.argsort(-v.sum(1), kind="stable")  # the better first: few rows survive them
-            for i in order.tolist():
-                front, rows = held.setdefault(keys[i], (np.empty((0, len(cols))), []))
-                x = v[i]
-                if len(front):
-                    ge = front >= x
-                    if (ge.all(1) & (front > x).any(1)).any():
-                        continue
-                    keep = ~((front <= x).all(1) & (front < x).any(1))
-                    front, rows = front[keep], [r for r, k in zip(rows, keep, strict=True) if k]
-                held[keys[i]] = (np.vstack([front, x]), [*rows, b.slice(i, 1)])
+            t = pa.Table.from_batches([b])
+            v = np.stack([t.column(c).to_numpy() for c in cols], 1)
+            of: dict[tuple, list[int]] = {}
+            keys = zip(*[t.column(g).to_pylist() for g in group], strict=True) if group else ((),) * len(v)
+            for i, k in enumerate(keys):
+                of.setdefault(k, []).append(i)
+            for k, places in of.items():
+                at = np.array(places)
+                at = at[skyline(v[at])]
+                if k not in held:
+                    held[k] = v[at], t.take(at)
+                    continue
+                old, rows = held[k]
+                at = at[~_beaten(v[at], old)]
+                stay = np.flatnonzero(~_beaten(old, v[at]))
+                held[k] = np.vstack([old[stay], v[at]]), pa.concat_tables([rows.take(stay), t.take(at)])
         for _, rows in held.values():
-            yield from pa.Table.from_batches(rows, schema).combine_chunks().to_batches()
+            yield from rows.combine_chunks().to_batches()
 
     return df.mapInArrow(step, df.schema)
 
 
+def strict_front(df: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Rows that no row of their group strictly dominates; rows that share a vector all stay."""
+    pool = local_skyline(df, group)
+    if group:
+        return local_skyline(pool.repartition(*group), group)
+    pool = cut(pool)
+    n = pool.count()
+    if n <= MEET:
+        return local_skyline(pool.coalesce(1))
+    blocks = -(-n // MEET)
+    rivals = cut(pool.select(*dims(df), F.pmod(F.xxhash64(*dims(df)), F.lit(blocks)).alias("block_")).distinct())
+    for i in range(blocks):
+        pool = cut(_undominated(pool, rivals.where(F.col("block_") == i), dims(df)))
+    return pool
+
+
+def _undominated(df: DataFrame, by: DataFrame, cols: list[str], tolerance: float = 0.0) -> DataFrame:
+    """Rows that no row of ``by`` dominates; ``by`` has MEET rows or so, hence the broadcast."""
+    return df.alias("own").join(F.broadcast(by.select(*cols)).alias("other"), dominates("other", "own", cols, tolerance), "left_anti")
+
+
 def front(df: DataFrame, group: list[str] | None = None, tolerance: float = 0.0) -> DataFrame:
     """Rows that no row of their group dominates; rows that share a vector all stay."""
     group, cols = group or [], dims(df)
-    pool = local_skyline(df, group) if tolerance == 0 else df
-    a, b = pool.alias("other"), pool.alias("own")
-    same = [F.col(f"other.{g}").eqNullSafe(F.col(f"own.{g}")) for g in group]
-    on = reduce(lambda p, q: p & q, [*same, dominates("other", "own", cols, tolerance)])
-    return b.join(a, on, "left_anti")
+    strict = strict_front(df, group)
+    if tolerance == 0:
+        return strict
+    if group:
+        a, b = strict.select(*group, *cols).distinct().alias("other"), df.alias("own")
+        same = [F.col(f"other.{g}").eqNullSafe(F.col(f"own.{g}")) for g in group]
+        return b.join(a, reduce(lambda p, q: p & q, [*same, dominates("other", "own", cols, tolerance)]), "left_anti")
+    rivals = cut(strict.select(*cols).distinct())
+    blocks = max(-(-rivals.count() // MEET), 1)
+    for i in range(blocks):
+        part = rivals if blocks == 1 else rivals.where(F.pmod(F.xxhash64(*cols), F.lit(blocks)) == i)
+        df = _undominated(df, part, cols, tolerance)
+    return df
 
 
 def vectors(df: DataFrame) -> DataFrame:

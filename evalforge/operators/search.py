@@ -8,6 +8,7 @@ engine gives the same proposals.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -108,15 +109,23 @@ class SubsetStream:
 
 
 def diverse(ids: list[str], most: int, seed: int) -> list[tuple[str, ...]]:
-    """The whole set, the single patches, then random sizes, by size with the whole set first."""
-    all_ids = tuple(sorted(set(ids)))
-    if most <= 0 or not all_ids:
+    """The whole set, the single patches, then subsets of hash-drawn sizes, by size with the whole set first.
+
+    Draw i has the size that the hash of (seed, i) says, and the patches with the least hashes of (seed, i, patch).
+    """
+    names = tuple(sorted(set(ids)))
+    room = min(most, (1 << len(names)) - 1)
+    if room <= 0:
         return []
-    found = {all_ids} | {(i,) for i in all_ids}
-    rnd = random.Random(seed)
-    while len(found) < min(most, (1 << len(all_ids)) - 1):
-        found.add(tuple(sorted(rnd.sample(all_ids, rnd.randint(1, len(all_ids))))))
-    return sorted(found, key=lambda s: (s != all_ids, len(s), s))[:most]
+    key = lambda *x: hashlib.md5("|".join(map(str, (seed, *x))).encode()).hexdigest()
+    found = dict.fromkeys([names, *((n,) for n in names)])
+    for draw in itertools.count():
+        if len(found) >= room:
+            break
+        size = 1 + int(key(draw)[:8], 16) % len(names)
+        found.setdefault(tuple(sorted(sorted(names, key=lambda n: key(draw, n))[:size])))
+    fixed, drawn = names, sorted((s for s in found if s != names), key=lambda s: (len(s), s))
+    return [fixed, *drawn][:room]
 
 
 def incumbents(old: DataFrame | None, batch: DataFrame, k: int) -> DataFrame:

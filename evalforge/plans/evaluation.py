@@ -85,13 +85,6 @@ def matrix_violations(spark, sf):
     return checks.difference(o, seen, KEY)
 
 
-@query(f"WITH {outcomes_sql()} SELECT task_id, seed, 2 * count(*) AS n FROM o WHERE target_id = 't2' AND candidate_id = 'c3' AND seed = 0 GROUP BY ALL")
-def duplicate_keys(spark, sf):
-    """Repeated keys of a ledger into which rows were appended twice."""
-    o = outcomes(spark, sf).where("target_id = 't2' and candidate_id = 'c3'").select("task_id", "seed")
-    return checks.duplicates(o.unionByName(o.where("seed = 0")), ["task_id", "seed"])
-
-
 @query(f"WITH {outcomes_sql()} SELECT candidate_id, target_id, task_id, seed, 2 * count(*) AS n FROM o WHERE seed = 0 GROUP BY ALL")
 def duplicate_keys_all(spark, sf):
     """Repeated keys of the whole ledger, all candidates and targets."""
@@ -105,12 +98,6 @@ def unclosed_targets(spark, sf):
     return checks.unclosed(outcomes(spark, sf).where("not (target_id = 't1' and task_id = 'k3')"), ["candidate_id", "target_id"], ["task_id", "seed"])
 
 
-@query("WITH t AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'a' WHEN l_orderkey % 3 = 1 THEN 'b' ELSE 'c' END AS split_id, CAST(l_partkey AS VARCHAR) AS task_id FROM lineitem WHERE l_partkey % 50 = 0) SELECT DISTINCT x.split_id, y.split_id AS other_id, x.task_id FROM t x JOIN t y USING (task_id) WHERE (x.split_id = 'a' AND y.split_id IN ('b', 'c')) OR (x.split_id = 'b' AND y.split_id = 'c')")
-def split_overlap(spark, sf):
-    """Tasks in two splits that are declared disjoint, of every 50th part."""
-    return _overlaps(spark, spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 50 = 0"))
-
-
 @query("WITH t AS (SELECT DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN 'a' WHEN l_orderkey % 3 = 1 THEN 'b' ELSE 'c' END AS split_id, CAST(l_partkey AS VARCHAR) AS task_id FROM lineitem) SELECT x.split_id, y.split_id AS other_id, x.task_id FROM t x JOIN t y USING (task_id) WHERE (x.split_id = 'a' AND y.split_id IN ('b', 'c')) OR (x.split_id = 'b' AND y.split_id = 'c')")
 def split_overlap_all(spark, sf):
     """Tasks in two splits that are declared disjoint, of all parts."""
@@ -336,17 +323,17 @@ def hv_contribution(spark, sf):
     return rounded(pareto.contributions(_pool(spark, sf), "id", [-2.0, -1.0, -1.0], ["run"]).select("run", "id", "contribution"), "contribution")
 
 
-_TWO = f"{_E}, l AS (SELECT * FROM e WHERE run = 0), r AS (SELECT * FROM e WHERE run = 1)"
+_TWO = f"{_E}, l AS (SELECT * FROM e WHERE run % 2 = 0), r AS (SELECT * FROM e WHERE run % 2 = 1)"
 
 
 def _two(spark, sf):
     p = _pool(spark, sf)
-    return p.where("run = 0"), p.where("run = 1")
+    return p.where("run % 2 = 0"), p.where("run % 2 = 1")
 
 
 @query(f"WITH {_TWO} SELECT round(avg((EXISTS (SELECT 1 FROM l WHERE l.v1 >= r.v1 AND l.v2 >= r.v2 AND l.v3 >= r.v3))::INT), 6) AS coverage FROM r")
 def coverage(spark, sf):
-    """Share of one run that another weakly dominates."""
+    """Share of the odd runs that the even ones weakly dominate."""
     return rounded(pareto.coverage(*_two(spark, sf)), "coverage")
 
 
@@ -387,12 +374,6 @@ def hard_easy_product(spark, sf):
     return rounded(selection.hard_easy_product(objectives.hard_easy(outcomes(spark, sf), 7), 4).select("candidate_id", "product"), "product")
 
 
-@query(f"WITH RECURSIVE {_E.replace('FROM supplier', 'FROM supplier WHERE s_suppkey % 4 = 2')}, c AS (SELECT id, 0 AS depth FROM e UNION SELECT b.id, c.depth + 1 FROM c JOIN e a ON a.id = c.id JOIN e b ON {_D3}), k AS (SELECT e.*, d AS rank FROM e JOIN (SELECT id, max(depth) AS d FROM c GROUP BY id) USING (id)), x AS (SELECT id, rank, {_CROWD.replace('PARTITION BY run', 'PARTITION BY rank')} FROM k WINDOW w AS (PARTITION BY rank)) SELECT 'c' || id AS candidate_id, rank FROM x ORDER BY rank, ({_EDGE}) DESC, CASE WHEN {_EDGE} THEN 0 ELSE {_GAPS} END DESC, 'c' || id LIMIT 9")
-def nsga_survivors(spark, sf):
-    """Survivors of one run by rank and crowding."""
-    return _survivors(_pool(spark, sf).where("run = 2"))
-
-
 @query()
 def nsga_survivors_all(spark, sf):
     """Survivors of the whole pool by rank and crowding; tests hold it against brute force."""
@@ -404,9 +385,6 @@ def _survivors(pool):
     return selection.survivors(p.select("candidate_id", "v1", "v2", "v3"), 9).select("candidate_id", "rank")
 
 
-SQL["nsga_survivors"] = SQL["nsga_survivors"].replace("ORDER BY v1, id", "ORDER BY v1, 'c' || id").replace("ORDER BY v2, id", "ORDER BY v2, 'c' || id").replace("ORDER BY v3, id", "ORDER BY v3, 'c' || id")
-
-
 @query(f"WITH {OBJ_SQL} (SELECT 'min_tokens' AS policy_id, true AS defined, candidate_id, NULL::VARCHAR AS reason FROM obj WHERE accuracy >= 0.55 ORDER BY token_cost, regression, candidate_id LIMIT 1) UNION ALL SELECT 'max_transfer', false, NULL, 'no_candidate_within_token_budget' UNION ALL (SELECT 'knee', true, candidate_id, NULL FROM obj ORDER BY sqrt((1 - accuracy) ** 2 + (1 - transfer) ** 2 + (1 - (-token_cost + 200) / 200) ** 2 + (1 - (-regression + 1)) ** 2), regression, token_cost, candidate_id LIMIT 1)")
 def deploy_payload(spark, sf):
     """Deployment policies, with the reason of an undefined one."""

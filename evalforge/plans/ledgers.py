@@ -182,18 +182,18 @@ def execution_groups(spark, sf):
 
 
 def _final_rows(spark, sf):
-    """t3 repeats the execution of t0, once with another outcome."""
-    o = outcomes(spark, sf).where("target_id in ('t0', 't1', 't2')").withColumn("content_hash", F.sha2("candidate_id", 256))
-    again = o.where("target_id = 't0'").withColumn("target_id", F.lit("t3")).withColumn("input_tokens", F.col("input_tokens") + F.when((F.col("task_id") == "k8") & (F.col("seed") == 1), 1).otherwise(0))
+    """t9 repeats the execution of t0, once with another outcome."""
+    o = outcomes(spark, sf).withColumn("content_hash", F.sha2("candidate_id", 256))
+    again = o.where("target_id = 't0'").withColumn("target_id", F.lit("t9")).withColumn("input_tokens", F.col("input_tokens") + F.when((F.col("task_id") == "k8") & (F.col("seed") == 1), 1).otherwise(0))
     rows = o.unionByName(again)
-    role = F.when(F.col("target_id") == "t0", "id").when(F.col("target_id") == "t3", "diagnostic").otherwise("transfer")
-    return rows.withColumn("role", role).withColumn("execution_group", F.when(F.col("target_id").isin("t0", "t3"), "shared").otherwise(F.col("target_id")))
+    role = F.when(F.col("target_id") == "t0", "id").when(F.col("target_id") == "t9", "diagnostic").otherwise("transfer")
+    return rows.withColumn("role", role).withColumn("execution_group", F.when(F.col("target_id").isin("t0", "t9"), "shared").otherwise(F.col("target_id")))
 
 
-_FINAL = f"{O}, f AS (SELECT * FROM (SELECT candidate_id, target_id, task_id, seed, input_tokens FROM o WHERE target_id IN ('t0', 't1', 't2') UNION ALL SELECT candidate_id, 't3', task_id, seed, input_tokens + (task_id = 'k8' AND seed = 1)::INT FROM o WHERE target_id = 't0'))"
+_FINAL = f"{O}, f AS (SELECT * FROM (SELECT candidate_id, target_id, task_id, seed, input_tokens FROM o UNION ALL SELECT candidate_id, 't9', task_id, seed, input_tokens + (task_id = 'k8' AND seed = 1)::INT FROM o WHERE target_id = 't0'))"
 
 
-@query(_FINAL + " SELECT target_id, count(*) AS n FROM f WHERE target_id <> 't3' GROUP BY 1")
+@query(_FINAL + " SELECT target_id, count(*) AS n FROM f WHERE target_id <> 't9' GROUP BY 1")
 def overlap_dedup(spark, sf):
     """Overlapping executions once, id before transfer before diagnostic."""
     return dedup.overlap_dedup(_final_rows(spark, sf)).groupBy("target_id").agg(F.count("*").alias("n"))
@@ -267,10 +267,10 @@ def request_keys(spark, sf):
     return events(spark, sf).select("event_id", canonical.stable_hash(F.col("props")).alias("cache_key"))
 
 
-@query("SELECT event_id, value FROM events WHERE user_id % 3 <> 0")
+@query("SELECT event_id, value FROM events")
 def replay_join(spark, sf):
     """Requests with their recorded results."""
-    e = events(spark, sf).where("user_id % 3 <> 0")
+    e = events(spark, sf)
     return ledger.replay(e.select("event_id"), events(spark, sf).select("event_id", "value"), "event_id")
 
 
@@ -281,24 +281,32 @@ def replay_misses(spark, sf):
     return ledger.replay_misses(e.select("event_id"), e.where("user_id % 3 <> 0"), "event_id")
 
 
-_LINE = "l AS (SELECT 'v' || p_partkey AS version_id, CASE WHEN p_partkey % 10 <> 1 THEN 'v' || (p_partkey - 1) END AS parent_version_id FROM part)"
+_LINE = "l AS (SELECT 'v' || p_partkey AS version_id, CASE WHEN p_partkey % 100 <> 1 THEN 'v' || (p_partkey - 1) END AS parent_version_id FROM part)"
 
 
 def _lineage(spark, sf):
+    """Chains of 100 versions."""
     p = spark.read.parquet(f"{sf}/part.parquet")
-    return p.select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("version_id"), F.when(F.col("p_partkey") % 10 != 1, F.concat(F.lit("v"), (F.col("p_partkey") - 1).cast("string"))).alias("parent_version_id"), F.col("p_name").alias("content_hash"))
+    return p.select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("version_id"), F.when(F.col("p_partkey") % 100 != 1, F.concat(F.lit("v"), (F.col("p_partkey") - 1).cast("string"))).alias("parent_version_id"), F.col("p_name").alias("content_hash"))
+
+
+_ANCESTORS = "a AS (SELECT version_id, parent_version_id AS ancestor_id, 1 AS distance FROM l WHERE parent_version_id IS NOT NULL UNION ALL SELECT a.version_id, l.parent_version_id, distance + 1 FROM a JOIN l ON l.version_id = a.ancestor_id WHERE l.parent_version_id IS NOT NULL)"
 
 
-@query(f"WITH RECURSIVE {_LINE}, a AS (SELECT version_id, parent_version_id AS ancestor_id, 1 AS distance FROM l WHERE parent_version_id IS NOT NULL UNION ALL SELECT a.version_id, l.parent_version_id, distance + 1 FROM a JOIN l ON l.version_id = a.ancestor_id WHERE l.parent_version_id IS NOT NULL AND distance < 64) SELECT * FROM a")
+@query(f"WITH RECURSIVE {_LINE}, {_ANCESTORS} SELECT * FROM a")
 def lineage_ancestors(spark, sf):
     """All ancestors of all versions, by doubling."""
     return lineage.ancestors(_lineage(spark, sf))
 
 
-@query(f"WITH {_LINE}, k AS (SELECT * FROM l WHERE version_id <> 'v5') SELECT version_id, 'missing_parent' AS problem FROM k WHERE parent_version_id IS NOT NULL AND parent_version_id NOT IN (SELECT version_id FROM k)")
+_LOOP = _LINE.replace("CASE WHEN", "CASE WHEN p_partkey = 1 THEN 'v100' WHEN")
+
+
+@query(f"WITH RECURSIVE {_LOOP}, k AS (SELECT * FROM l WHERE version_id <> 'v205'), c AS (SELECT version_id, parent_version_id AS up FROM k WHERE parent_version_id IS NOT NULL UNION SELECT c.version_id, k.parent_version_id FROM c JOIN k ON k.version_id = c.up WHERE k.parent_version_id IS NOT NULL) SELECT version_id, 'missing_parent' AS problem FROM k WHERE parent_version_id IS NOT NULL AND parent_version_id NOT IN (SELECT version_id FROM k) UNION ALL SELECT version_id, 'cycle' FROM c WHERE version_id = up")
 def lineage_violations(spark, sf):
-    """Versions whose parent is gone."""
-    return lineage.lineage_violations(_lineage(spark, sf).where("version_id <> 'v5'"))
+    """Versions whose parent is gone, and a cycle of 100 versions."""
+    rows = _lineage(spark, sf).withColumn("parent_version_id", F.when(F.col("version_id") == "v1", "v100").otherwise(F.col("parent_version_id")))
+    return lineage.lineage_violations(rows.where("version_id <> 'v205'"))
 
 
 def _entries(spark, sf):

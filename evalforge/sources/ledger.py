@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +29,43 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line number and text of lines that aren't JSON objects; blank lines are fine."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return lines.where(F.btrim("text", F.lit(" \r\t")) != "").where(F.coalesce(~F.startswith(F.schema_of_variant(F.try_parse_json("text")), F.lit("OBJECT")), F.lit(True))).select("file", (F.col("line") + 1).alias("line"), "text")
+    """file, line number and text of lines that aren't JSON objects; blank lines are fine.
+
+    Files are read in splits; a line's number is its place in its split and the lines of the splits before.
+    """
+    text = F.col("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), text.alias("text"))
+    blank = F.btrim("text", F.lit(" \r\t")) == ""
+    whole = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("text")), F.lit("OBJECT")), F.lit(False))
+    marked = lines.select("file", "split", F.when(~blank & ~whole, F.col("text")).alias("text"))
+
+    def number(batches):
+        at, n = None, 0
+        out: list[tuple] = []
+        for b in batches:
+            for file, split, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (file, split) != at:
+                    if at:
+                        out.append((*at, n, None))
+                    at, n = (file, split), 0
+                n += 1
+                if text is not None:
+                    out.append((*at, n, text))
+            if out:
+                yield _line_batch(out)
+                out = []
+        if at:
+            yield _line_batch([(*at, n, None)])
+
+    got = marked.mapInArrow(number, "file string, split long, n long, text string")
+    w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = got.where("text is null").groupBy("file", "split").agg(F.max("n").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return got.where("text is not null").join(before, ["file", "split"]).select("file", (F.col("before") + F.col("n")).alias("line"), "text")
+
+
+def _line_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "split", "n", "text"])
 
 
 def append(df: DataFrame, path: str) -> None:
