@@ -5,10 +5,11 @@ where it was read, without a shuffle.  Whole sequences are cut off long document
 the rest lengths of a block form a histogram of classes.  A linear program over
 cutting patterns (Gilmore and Gomory, 1961) is solved by column generation: a
 knapsack dynamic program prices the next pattern from the dual values.  Patterns
-are rounded down and dealt to the documents ranked by length.  Documents left over
-are cut freely to fill the slots' slack and then whole sequences; the block's last
-incomplete one becomes sequences whose lengths are powers of two, which need no
-padding.
+are rounded down and dealt to the documents ranked by length.  Short documents are kept
+back and fill the slack of the patterns whole, where one, two or three of them fit
+exactly.  Only what is left over is cut, to fill the remaining slack and then whole
+sequences; the block's last incomplete one becomes sequences whose lengths are powers of
+two, which need no padding.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from ._base import arrow, pieces, table
 LENGTH, CLASSES, END_ID = 4096, 64, 2
 #: A block is packed once it holds so many ids (one document more at most).
 BLOCK_IDS = 3_000_000
+#: Rest lengths up to this are kept back to fill slack.
+SHORT = 512
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 700_000
 #: How this vocabulary's file splits a text (fixed values).
@@ -36,6 +39,9 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Texts of these code points are their own NFC form, are lower-cased code point by code point, and have plain white space only.
 _PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ]*").fullmatch
 
+#: Texts by which a vocabulary shows whether it splits texts as _PIECE does.
+_PROBES = ("Hello, World!! it's 42 DON'T we've ''s", "  two  spaces\n\nlines\tand 1234 5.6%%% foo### $$$ ", "Équeê straße ñandú x_y a-b (c) [d] e@f.g", "I'LL they'd 'tis UPPER lower 3x x3 ... --")
+
 
 def default_tokenizer() -> str:
     """Path of the public vocabulary that the query uses."""
@@ -58,6 +64,9 @@ class Words(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.kind = "<u2" if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        # the shortcut holds for vocabularies that split as this one does; others are asked for whole texts
+        self.plain = all(np.array_equal(self._by_words(x), self._whole(x)) for x in _PROBES)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
@@ -67,14 +76,18 @@ class Words(dict):
             if not p.isascii():
                 p = "".join(map(self.letters.__getitem__, p.encode()))
             ids += [t.id for t in self.model.tokenize(p)]
-        out = self[word] = np.array(ids, "<u2").tobytes()
+        out = self[word] = np.array(ids, self.kind).tobytes()
         return out
 
+    def _by_words(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
+
     def ids(self, text: str) -> np.ndarray:
         """The tokenizer's ids of a whole text."""
-        if _PLAIN(text):
-            return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), "<u2")
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
+        return self._by_words(text) if self.plain and _PLAIN(text) else self._whole(text)
 
 
 @lru_cache(maxsize=1)
@@ -131,6 +144,59 @@ def patterns(demand: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndar
     return full, amount
 
 
+class Shelf:
+    """Short documents by length, taken to fill gaps exactly."""
+
+    def __init__(self, docs: np.ndarray, rest: np.ndarray):
+        self.by: dict[int, list[int]] = {}
+        for d in docs[np.lexsort((docs, rest[docs]))][::-1].tolist():
+            self.by.setdefault(int(rest[d]), []).append(d)
+        self.count = np.zeros(max(self.by, default=0) + 1, np.int64)
+        for n, ds in self.by.items():
+            self.count[n] = len(ds)
+
+    def _take(self, n: int) -> int:
+        self.count[n] -= 1
+        return self.by[n].pop()
+
+    def _pair(self, gap: int) -> tuple[int, ...] | None:
+        """Lengths, one or two, that add up to the gap."""
+        top = len(self.count) - 1
+        if 0 < gap <= top and self.count[gap]:
+            return (gap,)
+        low = np.arange(max(gap - top, 1), gap // 2 + 1)
+        if len(low):
+            ok = (self.count[low] > 0) & (self.count[gap - low] > (low == gap - low))
+            if ok.any():
+                a = int(low[ok.argmax()])
+                return a, gap - a
+        return None
+
+    def fill(self, gap: int) -> list[int]:
+        """Documents that fill the gap exactly, or none."""
+        top, out = len(self.count) - 1, []
+        have = np.flatnonzero(self.count)
+        while gap > 2 * top and len(have):  # the longest first while the gap is wide
+            out.append(self._take(int(have[-1])))
+            gap -= int(have[-1])
+            have = np.flatnonzero(self.count)
+        found = self._pair(gap) if gap > 0 else ()
+        if found is None:
+            for n in have[::-1].tolist():
+                if n < gap:
+                    self.count[n] -= 1
+                    found = self._pair(gap - n)
+                    self.count[n] += 1
+                    if found:
+                        found = (n, *found)
+                        break
+        return out + [self._take(n) for n in found or ()]
+
+    def left(self) -> list[int]:
+        """What nobody took, the longest last."""
+        return [d for n in sorted(self.by) for d in self.by[n]]
+
+
 def pack(lengths: np.ndarray, length: int = LENGTH, classes: int = CLASSES) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each id of each document once."""
     out: list[tuple[int, int, int, int, int]] = []
@@ -144,16 +210,21 @@ def pack(lengths: np.ndarray, length: int = LENGTH, classes: int = CLASSES) -> l
     if not len(have):
         return out
     width = length // classes
-    kind = (rest[have] + width - 1) // width - 1
+    small = rest[have] <= min(SHORT, length // 8)
+    long_ = have[~small]
+    kind = (rest[long_] + width - 1) // width - 1
     form, amount = patterns(np.bincount(kind, minlength=classes))
-    ranked = have[np.lexsort((have, -rest[have], kind))]  # by class, longest first
+    ranked = long_[np.lexsort((long_, -rest[long_], kind))]  # by class, longest first
     bounds = np.searchsorted(np.sort(kind), np.arange(classes + 1))
     queues = [ranked[bounds[c] : bounds[c + 1]].tolist()[::-1] for c in range(classes)]
     bins: list[list[int]] = []
     for j in np.argsort(-amount, kind="stable").tolist():
         for _ in range(int(amount[j] + 1e-6)):
             bins.append([queues[c].pop() for c in np.flatnonzero(form[:, j]).tolist() for _ in range(form[c, j]) if queues[c]])
-    free = [d for q in queues for d in q]
+    shelf = Shelf(have[small], rest)
+    for b in bins:
+        b += shelf.fill(length - int(rest[b].sum()))
+    free = [d for q in queues for d in q] + shelf.left()
     rest_of = rest.tolist()
     slack = sum(length - sum(rest_of[d] for d in b) for b in bins)
     pool = sum(rest_of[d] for d in free)
@@ -205,7 +276,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
 
     def step(batches):
         known = words(path)
-        end = np.array([end_id], "<u2")
+        end = np.array([end_id], known.kind)
         base = TaskContext.get().partitionId() << 40
         held_id: list = []
         held: list[np.ndarray] = []

@@ -138,10 +138,13 @@ class View:
         return x @ np.array(self.weights) + self.bias
 
 
+def _gradient(z: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return z.T @ (y - 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))))
+
+
 def _sums(z: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the log-likelihood of rows ``z``, and a bound of its curvature (Boehning, 1992), so that no step overshoots."""
-    p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-    return z.T @ (y - p), z.T @ z / 4
+    return _gradient(z, y, beta), z.T @ z / 4
 
 
 @dataclass
@@ -153,6 +156,7 @@ class Learner:
     mean: np.ndarray
     scale: np.ndarray
     beta: np.ndarray
+    curve: np.ndarray | None = None  # bound of the labelled rows' curvature
 
     @classmethod
     def start(cls, x: np.ndarray, y: np.ndarray) -> "Learner":
@@ -160,6 +164,7 @@ class Learner:
         scale[scale < 1e-6] = np.inf  # a constant column counts for nothing
         out = cls(np.empty(0), y, mean, scale, np.zeros(x.shape[1] + 1))
         out.z = out.standard(x)
+        out.curve = out.z.T @ out.z / 4
         for _ in range(2000):
             if out.step() < 1e-4:
                 break
@@ -170,7 +175,7 @@ class Learner:
 
     def step(self, grad=0.0, hess=0.0, share: float = 0.0) -> float:
         """One step with a ridge; ``grad`` and ``hess`` are of the rows handed over, weighted by ``share``."""
-        own_grad, own_hess = _sums(self.z, self.y, self.beta)
+        own_grad, own_hess = _gradient(self.z, self.y, self.beta), self.curve
         ridge = np.r_[np.full(len(self.beta) - 1, PULL), 1e-3]
         move = np.linalg.solve(own_hess + share * hess + np.diag(ridge + 1e-6), own_grad + share * grad - ridge * self.beta)
         self.beta = self.beta + np.clip(move, -5, 5)

@@ -1,12 +1,15 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens are words and word beginnings.  Their log-odds of toxic against clean
-labelled text, under a Dirichlet prior, make a lexicon; all other tokens share
-one small negative score.  A linear-time scan (Ruzzo and Tompa, 1999) finds every
-maximal segment of a text.  Segment scores are turned into significance by the
-extreme-value law of such scores (Karlin and Altschul, 1990 and 1993: best sum of
-the r best segments in a text of n tokens), and a logistic curve fitted on the
-training rows turns significance into a probability.
+Tokens are words and word beginnings.  Each token that labelled documents have is scored
+by its log-odds of toxic against clean documents under Dirichlet priors.  Tokens whose
+likelihood ratio stands out among all that were tried are telling: they count in full,
+with a flat prior.  All others count for what a passage of which a tenth is telling
+would owe them, either way, with a prior that is worth ``PRIOR`` documents and follows
+the token's share of all labelled text, so that few documents say little.  A linear-time scan (Ruzzo and Tompa, 1999) finds every maximal segment of
+a text.  Segment scores are turned into significance by the extreme-value law of such
+scores (Karlin and Altschul, 1990 and 1993: best sum of the r best segments in a text of
+n tokens), and a logistic curve turns significance into a probability.  Its constants
+come from labelled documents, each scored as if it had not been counted itself.
 """
 
 from __future__ import annotations
@@ -22,14 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow, crc_bucket, cut, pieces, table
+from ._base import arrow, bounded, crc_bucket, cut, pieces, table
 
 #: Beginnings of a word that count as tokens beside the word itself.
 PREFIXES = (3, 4, 5)
 #: Bound of the fit: labelled rows of each class, those with the smallest hash.
 FIT_ROWS = 20_000
-#: Bound of the lexicon, which workers get as a whole.
-LEXICON = 20_000
+#: Bound of the scored tokens, which workers get as a whole: those with the largest scores either way.
+LEXICON = 100_000
+#: Flat prior of a telling token, its least log-odds, and the tokens that would be telling by chance.
+FLAT, TELLING, CHANCE = 0.5, 3.0, 0.5
+#: Documents that the prior of the other tokens is worth; standard errors that their log-odds must exceed, so that of millions hardly one does by chance.
+PRIOR, SURE = 200.0, 6.0
+#: Share of a toxic passage's words that tell.
+DENSITY = 0.1
+REST = math.log1p(-DENSITY)
+#: Segments from this score on fit the extreme-value law's constant.
+FLOOR = 3.0
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 _STRIP = re.compile(r"[\W_]+")
@@ -47,30 +59,58 @@ def tokens_of(word: str) -> list[str]:
 class Model:
     """Everything a worker needs; its size is bounded by LEXICON."""
 
-    lexicon: dict[str, float]
-    rest: float
+    #: Clean and toxic documents that have each token, whether it is telling, and the numbers of documents.
+    lexicon: dict[str, tuple[float, float, bool]]
+    clean: float
+    toxic: float
     lam: float
     k: float
     a: float
     b: float
 
 
+def telling_odds(clean: float, toxic: float, all_clean: float, all_toxic: float) -> float:
+    """Log-odds of having a token, under the flat prior."""
+    rate = lambda n, of: math.log((n + FLAT) / (of + FLAT - n))
+    return min(rate(toxic, all_toxic) - rate(clean, all_clean), 8.0)
+
+
+def other_odds(clean: float, toxic: float, all_clean: float, all_toxic: float) -> float:
+    """Log-odds under the prior that follows the token's share of all text; 0 where its standard errors could explain it."""
+    if clean + toxic <= 0:
+        return 0.0
+    prior = PRIOR * (clean + toxic + 0.5) / (all_clean + all_toxic + 1)
+    d = math.log((toxic + prior) / (all_toxic + PRIOR)) - math.log((clean + prior) / (all_clean + PRIOR))
+    return d if abs(d) >= SURE * math.sqrt(1 / (toxic + prior) + 1 / (clean + prior)) else 0.0
+
+
 class _Weights(dict):
-    """Score of a word as it stands in the text, remembered."""
+    """Score of a word as it stands in the text, remembered: its most telling token, else the one that says most.
+
+    ``own``: the class of the document at hand if it is one of those that were counted; it is taken out then.
+    """
 
-    def __init__(self, lexicon, rest):
-        self.lexicon, self.rest = lexicon, rest
+    def __init__(self, lexicon, clean, toxic, own=None):
+        self.lexicon, self.own = lexicon, own
+        self.totals = clean - (own == 0), toxic - (own == 1)
 
     def __missing__(self, word):
         if len(self) > REMEMBERED:
             self.clear()
-        found = [s for t in tokens_of(word) if (s := self.lexicon.get(t)) is not None]
-        out = self[word] = max(found, default=self.rest)
+        best, weak = -math.inf, 0.0
+        for t in tokens_of(word):
+            if (n := self.lexicon.get(t)) is not None:
+                c, y, telling = n[0] - (self.own == 0), n[1] - (self.own == 1), n[2]
+                if telling:
+                    best = max(best, telling_odds(c, y, *self.totals))
+                elif t[0] == "=":  # beginnings are shared by too many words
+                    weak = other_odds(c, y, *self.totals)
+        out = self[word] = best if best > 0 else math.log1p(DENSITY * math.expm1(weak)) + REST
         return out
 
 
 def segments(scores: np.ndarray, rest: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence in which most items score ``rest`` < 0."""
+    """All maximal scoring segments (start, end, score) of a sequence; ``rest`` < 0 is what an item scores that tells nothing."""
     where = np.flatnonzero(scores > 0)
     if not len(where):
         return []
@@ -110,17 +150,17 @@ def _scores(weights: _Weights, text: str) -> np.ndarray:
     return np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
 
 
-def _scan(rest: float, lexicon: dict[str, float]):
-    weights = _Weights(lexicon, rest)
-    return lambda text: ((s := _scores(weights, text)), segments(s, rest))
+def _scan(lexicon, clean: float, toxic: float, own: int | None = None):
+    weights = _Weights(lexicon, clean, toxic, own)
+    return lambda text: ((s := _scores(weights, text)), segments(s, REST))
 
 
 def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic): at most ``rows`` labelled documents of each class, near copies counted once.  Ids that carry both labels are left out."""
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     one = one.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top").select("doc_id", "toxic")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    kept = [one.where(F.col("toxic") == y).orderBy(*order).limit(rows) for y in (0, 1)]
+    one = cut(one)
+    kept = [bounded(one.where(F.col("toxic") == y), F.xxhash64("doc_id"), rows) for y in (0, 1)]
     ids = cut(kept[0].unionByName(kept[1]))  # 2 x rows at most, so it may be broadcast
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     keyed = named.mapInArrow(_keys, "doc_id long, text string, toxic int, key long")
@@ -138,26 +178,24 @@ def _keys(batches):
 
 
 def _counts(batches):
-    """Documents of each class that have a token; the token "" has all documents, and the clean ones' words."""
+    """Documents of each class that have a token; the token "" has all documents."""
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    docs, words = [0, 0], 0
+    docs = [0, 0]
 
-    def flush(n=0):
-        out = arrow(token=list(counts), clean=[c[0] for c in counts.values()], toxic=[c[1] for c in counts.values()], words=[n if t == "" else 0 for t in counts])
+    def flush():
+        out = arrow(token=list(counts), clean=[c[0] for c in counts.values()], toxic=[c[1] for c in counts.values()])
         counts.clear()
         return out
 
     for part, texts in pieces(batches):
         for text, y in zip(texts, part.column(part.schema.get_field_index("toxic")).to_pylist(), strict=True):
-            found = text.lower().split()
-            for t in {t for w in set(found) for t in tokens_of(w)}:
+            for t in {t for w in set(text.lower().split()) for t in tokens_of(w)}:
                 counts[t][y] += 1
             docs[y] += 1
-            words += len(found) * (1 - y)
         if len(counts) > 300_000:
             yield flush()
     counts[""] = docs
-    yield flush(words)
+    yield flush()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -175,52 +213,67 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size: int = LEXICON, prior: float = 0.5, least_odds: float = 3.0, chance_hits: float = 0.5, density: float = 0.1) -> Model:
-    """Lexicon, extreme-value constants and calibration from at most ``rows`` labelled documents of each class.
+def _lambda(scores: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of sum share exp(lambda score) = 1, for scores with a negative mean of which some are positive."""
+    f = lambda v: float((share * np.exp(np.minimum(v * scores, 50.0))).sum() - 1)
+    if not len(scores) or scores.max() <= 0 or f(1e-6) >= 0:
+        return 1.0
+    low, high = 1e-6, 1.0
+    while f(high) < 0 and high < 16:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) < 0 else (low, mid)
+    return low
+
+
+def _lexicon(counts: DataFrame, nc: float, nt: float, size: int) -> dict[str, tuple[float, float, bool]]:
+    """(clean, toxic, telling) of all telling tokens and of those whose other log-odds stand out, the largest first if there are too many."""
+    c, t = F.col("clean").cast("double"), F.col("toxic").cast("double")
+    flat = F.log((t + FLAT) / (nt + FLAT - t)) - F.log((c + FLAT) / (nc + FLAT - c))
+    seen, n = c + t, nc + nt
+    part = lambda got, hoped: F.when(got > 0, got * F.log(got / hoped)).otherwise(0.0)
+    g2 = 2 * (part(t, seen * (nt / n)) + part(c, seen * (nc / n)) + part(nt - t, (n - seen) * (nt / n)) + part(nc - c, (n - seen) * (nc / n)))
+    edge = 2 * math.log(max(counts.where("toxic >= 3").count() / CHANCE, 2.0))
+    prior = (c + t + 0.5) * (PRIOR / (n + 1))
+    odds = F.log((t + prior) / (nt + PRIOR)) - F.log((c + prior) / (nc + PRIOR))
+    sure = F.abs(odds) >= SURE * F.sqrt(1 / (t + prior) + 1 / (c + prior))
+    told = counts.withColumns({"telling": (flat >= TELLING) & (g2 >= edge), "flat": flat, "odds": odds}).where(F.col("telling") | sure & F.startswith("token", F.lit("=")))
+    value = F.when(F.col("telling"), 8 + F.least("flat", F.lit(7.99))).otherwise(F.least(F.abs("odds"), F.lit(7.99)))
+    key = F.shiftleft(F.floor((16 - value) * 4095).cast("long"), 48)
+    return {r.token: (float(r.clean), float(r.toxic), r.telling) for r in bounded(told, key, size).collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size: int = LEXICON) -> Model:
+    """Token counts, extreme-value constants and calibration from at most ``rows`` labelled documents of each class.
 
-    ``prior``: Dirichlet pseudo-count of each token.  A token enters the lexicon if its log-odds are at least
-    ``least_odds`` and its likelihood ratio is so high that about ``chance_hits`` tokens would reach it by chance.
-    ``density``: share of lexicon words in a toxic passage, which sets the score of all other words to
-    ln(1 - density).  Without toxic or clean rows the lexicon is empty and all texts score alike.
+    Without toxic or clean rows no token tells anything and all texts score alike.
     """
     train = cut(_training(docs, labels, rows))
-    counts = cut(train.mapInArrow(_counts, "token string, clean long, toxic long, words long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "words")]))
+    counts = cut(train.mapInArrow(_counts, "token string, clean long, toxic long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic")]))
     sums = counts.where("token = ''").first()
-    nc, nt, words = (float(sums.clean), float(sums.toxic), float(sums.words)) if sums else (0.0, 0.0, 0.0)
-    tried = counts.where("token <> '' and toxic >= 3")
-    odds = F.log((F.col("toxic") + prior) / (F.lit(nt + prior) - F.col("toxic"))) - F.log((F.col("clean") + prior) / (F.lit(nc + prior) - F.col("clean")))
-    seen, n = F.col("toxic") + F.col("clean"), max(nc + nt, 1.0)
-    part = lambda got, hoped: F.when(got > 0, got * F.log(got / hoped)).otherwise(0.0)
-    g2 = 2 * (part(F.col("toxic"), seen * (nt / n)) + part(F.col("clean"), seen * (nc / n)) + part(F.lit(nt) - F.col("toxic"), (F.lit(n) - seen) * (nt / n)) + part(F.lit(nc) - F.col("clean"), (F.lit(n) - seen) * (nc / n)))
-    edge = 2 * math.log(max(tried.count() / chance_hits, 2.0))
-    best = tried.select("token", "clean", odds.alias("odds"), g2.alias("g2")).where(f"odds >= {least_odds} and g2 >= {edge}").orderBy(F.desc("g2"), "token").limit(lexicon_size).collect()
-    lexicon = {r.token: min(r.odds, 8.0) for r in best}
-    rest = math.log(1 - density)
-    # lambda: the positive root of sum p exp(lambda s) = 1 in clean text, where a lexicon word has its smoothed share
-    p = np.array([(r.clean + prior) / (words + prior * (len(best) + 1)) for r in best]) / (len(PREFIXES) + 1)
-    s = np.array([lexicon[r.token] for r in best])
-    lam = 1.0
-    if len(best):
-        f = lambda v: float((p * np.exp(v * s)).sum() + max(1 - p.sum(), 1e-6) * math.exp(v * rest) - 1)
-        low, high = 1e-6, 1.0
-        while f(high) < 0 and high < 8:
-            high *= 2
-        if f(low) < 0:
-            for _ in range(60):
-                mid = (low + high) / 2
-                low, high = (mid, high) if f(mid) < 0 else (low, mid)
-            lam = low
+    nc, nt = (float(sums.clean), float(sums.toxic)) if sums else (0.0, 0.0)
+    lexicon: dict[str, tuple[float, float]] = {}
+    if nc and nt:
+        lexicon = _lexicon(counts.where("token <> ''"), nc, nt, lexicon_size)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON entries at most
 
     def stats(batches):
-        scan = _scan(rest, lexicon)
+        scans = [_scan(shared.value, nc, nt, y) for y in (0, 1)]
         for part, texts in pieces(batches):
-            got = [scan(x) for x in texts]
-            yield arrow(toxic=part.column(part.schema.get_field_index("toxic")), n=[len(a) for a, _ in got], s=pa.array([[x[2] for x in b] for _, b in got], pa.list_(pa.float64())))
-
-    got = train.mapInArrow(stats, "toxic int, n long, s array<double>").collect()
+            y = part.column(part.schema.get_field_index("toxic")).to_pylist()
+            got = [scans[c](x) for x, c in zip(texts, y, strict=True)]
+            clean = [a for (a, _), c in zip(got, y, strict=True) if not c]
+            kind, n = np.unique(np.round(np.concatenate(clean) * 50).astype(np.int64), return_counts=True) if clean else (np.zeros(0, np.int64),) * 2
+            yield arrow(toxic=pa.array([*y, *[-1] * len(kind)], pa.int32()), n=pa.array([*(len(a) for a, _ in got), *n.tolist()], pa.int64()), s=pa.array([*([x[2] for x in b] for _, b in got), *([k / 50] for k in kind.tolist())], pa.list_(pa.float64())))
+
+    every = cut(train.mapInArrow(stats, "toxic int, n long, s array<double>"))
+    words = every.where("toxic = -1").groupBy(F.col("s")[0].alias("s")).agg(F.sum("n").alias("n")).collect()  # a few thousand scores
+    got = every.where("toxic >= 0").collect()
+    n = np.array([float(r.n) for r in words])
+    lam = _lambda(np.array([r.s for r in words]), n / max(n.sum(), 1.0))
     clean = [r for r in got if not r.toxic]
-    floor = least_odds
-    k = (sum(sum(x >= floor for x in r.s) for r in clean) + 0.5) / max(sum(r.n for r in clean) * math.exp(-lam * floor), 1.0)
+    k = (sum(sum(x >= FLOOR for x in r.s) for r in clean) + 0.5) / max(sum(r.n for r in clean) * math.exp(-lam * FLOOR), 1.0)
     k = min(max(k, 1e-9), 1.0)
     if clean and len(clean) < len(got):
         sizes = labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()
@@ -230,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon_size:
         a, b = _logistic(np.log1p([evidence(r.s, r.n, lam, k) for r in got]), y, weight / weight.mean())
     else:
         a, b = -2.0, 1.0
-    return Model(lexicon, rest, lam, k, a, max(b, 0.0))
+    return Model(lexicon, nc, nt, lam, k, a, max(b, 0.0))
 
 
 def _probability(s, found, lam: float, k: float, a: float, b: float) -> float:
@@ -244,11 +297,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no passage and the score of an innocent text; repeated rows and null ids stay;
     other columns of ``docs`` are ignored, whatever their names; an empty table gives no row.
     """
-    lexicon, rest, lam, k, a, b = model.lexicon, model.rest, model.lam, model.k, model.a, model.b
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon,))  # LEXICON entries at most
+    lam, k, a, b = model.lam, model.k, model.a, model.b
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.clean, model.toxic))  # LEXICON entries at most
 
     def step(batches):
-        scan = _scan(rest, shared.value[0])
+        scan = _scan(*shared.value)
         for part, texts in pieces(batches):
             scores, spans = [], []
             for text in texts:
@@ -278,12 +331,12 @@ THRESHOLD = 0.3
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored toxic; each is judged by its own text, whatever its id."""
     model = fit(docs, labels)
-    rest, lam, k, a, b = model.rest, model.lam, model.k, model.a, model.b
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon,))  # LEXICON entries at most
+    lam, k, a, b = model.lam, model.k, model.a, model.b
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.clean, model.toxic))  # LEXICON entries at most
     column = next(c for c in docs.columns if c.lower() == "text")
 
     def step(batches):
-        scan = _scan(rest, shared.value[0])
+        scan = _scan(*shared.value)
         for part, texts in pieces(batches, column):
             yield part.filter(pa.array([_probability(*scan(x or ""), lam, k, a, b) < THRESHOLD for x in texts], pa.bool_()))
 
@@ -294,7 +347,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for all ``documents``; labels of held-out rows are never read by the fit."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = score(docs, fit(docs, labels.where(crc_bucket("doc_id", 4) != 2)))
-    return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    held = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 QUERIES = {"op7_toxicity_segments": op7}

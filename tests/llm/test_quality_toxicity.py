@@ -72,3 +72,40 @@ def test_held_out_quality(spark):
     assert quality.score(docs, labels.limit(0)).select("score").distinct().count() == 1
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+
+
+def test_queries(spark, tmp_path):
+    """The contracts' columns; a null id is not held out; labels of held-out rows change no score."""
+    import zlib
+
+    docs, labels = corpus(spark, 400)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op7(spark, str(tmp_path)).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    assert len(got) == docs.count() and all(r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.3) for r in got)
+    from pyspark.sql import functions as F
+
+    other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other.write.mode("overwrite").parquet(f"{tmp_path}/two/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/two/documents.parquet")
+    again = {(r.doc_id, r.score) for r in toxicity.op7(spark, f"{tmp_path}/two").collect()}
+    assert {i for i, _ in again} == {r.doc_id for r in got}
+    assert quality.op2(spark, str(tmp_path)).columns[:2] == ["doc_id", "score"]
+
+
+def test_log_odds():
+    """Evidence counts both ways and grows with the number of documents; one document tells little."""
+    odd = lambda f, c, t: f(c, t, 800, 100)
+    for f in (toxicity.telling_odds, toxicity.other_odds):
+        assert odd(f, 0, 30) > odd(f, 0, 8) > 0 > odd(f, 60, 0)
+    assert odd(toxicity.other_odds, 80, 10) == odd(toxicity.other_odds, 0, 1) == odd(toxicity.other_odds, 0, 0) == 0
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(i, "calm words " * 30 + ("vile " * 3 if i % 4 == 0 else ""), "en", "s", 1, 0.5, True) for i in range(80)] + [(500, "calm vile words " * 60000, None, None, None, 0.1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, toxic boolean")
+    labels = spark.createDataFrame([(i, i % 3 > 0, i % 4 == 0) for i in range(80)], "doc_id long, quality boolean, toxic boolean").selectExpr("doc_id", "int(quality) quality", "int(toxic) toxic")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 81
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns
+    assert quality.score(docs, labels).count() == 81 and quality.keep_good(docs, labels).columns == docs.columns
