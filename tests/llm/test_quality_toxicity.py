@@ -96,10 +96,11 @@ def test_queries(spark, tmp_path):
 
 def test_log_odds():
     """Evidence counts both ways and grows with the number of documents; one document tells little."""
-    odd = lambda f, c, t: f(c, t, 800, 100)
-    for f in (toxicity.telling_odds, toxicity.other_odds):
-        assert odd(f, 0, 30) > odd(f, 0, 8) > 0 > odd(f, 60, 0)
-    assert odd(toxicity.other_odds, 80, 10) == odd(toxicity.other_odds, 0, 1) == odd(toxicity.other_odds, 0, 0) == 0
+    telling = lambda c, t: toxicity.telling_odds(c, t, 800, 100)
+    other = lambda c, t: toxicity.other_odds(c, t, 80_000, 10_000)
+    assert telling(0, 30) > telling(0, 8) > telling(0, 2) > 0 > telling(60, 0)
+    assert other(100, 800) > other(400, 400) > 0 > other(9000, 300)
+    assert other(8000, 1000) == other(0, 1) == other(0, 0) == 0
 
 
 def test_long_texts_and_clashing_names(spark):
