@@ -31,7 +31,7 @@ from ._base import arrow, bounded, pieces, staged, table
 FIT_ROWS = 40_000
 #: Rounds of the exchange, and steps (passes over the unlabelled rows) of each.
 ROUNDS, STEPS = 3, 4
-#: A view hands over the documents to which it gives a class with this probability.
+#: A view hands over the documents to which it gives a class with this probability, and with as much beyond the class's share.
 SURE = 0.95
 #: All rows handed over count at most so much as the labelled ones.
 HANDED = 0.25
@@ -195,7 +195,7 @@ def _lists(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(np.float64)
 
 
-def _handed(free: DataFrame, givers: dict[str, View], learners: dict[str, Learner]) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
+def _handed(free: DataFrame, givers: dict[str, View], learners: dict[str, Learner], prior: float) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
     """By view: gradient, curvature and number of the unlabelled rows that the other view is sure of."""
     edge = math.log(SURE / (1 - SURE))
     other = {"c": "m", "m": "c"}
@@ -209,7 +209,7 @@ def _handed(free: DataFrame, givers: dict[str, View], learners: dict[str, Learne
             x = {v: _lists(batch, v) for v in "cm"}
             for v in "cm":
                 sure = givers[other[v]].of(x[other[v]])
-                use = np.abs(sure) >= edge
+                use = (sure >= max(0.0, prior) + edge) | (sure <= min(0.0, prior) - edge)
                 mean, scale, beta = plain[v]
                 z = np.column_stack([(x[v][use] - mean) / scale, np.ones(int(use.sum()))])
                 grad, hess = _sums(z, (sure[use] > 0).astype(float), beta)
@@ -298,10 +298,11 @@ def fit(feats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int =
     learners = {v: Learner.start(x[v][~held], y[~held]) for v in "cm"}
     if rounds:
         free = staged(feats.join(named.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["text_hash"]).select("c", "m"))
+    prior = math.log(y[~held].sum() / (1 - y[~held]).sum())
     for _ in range(rounds):
         givers = {v: x_.view(v) for v, x_ in learners.items()}
         for _ in range(STEPS):
-            handed = _handed(free, givers, learners)
+            handed = _handed(free, givers, learners, prior)
             for v, (grad, hess, n) in handed.items():
                 learners[v].step(grad, hess, min(1.0, HANDED * len(learners[v].y) / max(n, 1)))
     made = {v: x_.view(v) for v, x_ in learners.items()}
