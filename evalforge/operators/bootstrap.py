@@ -29,14 +29,24 @@ def strata(pairs: DataFrame) -> DataFrame:
     return blocks.withColumn("place", F.row_number().over(w.orderBy(*BLOCK)) - 1).withColumn("size", F.count("*").over(w))
 
 
-def hash_draws(layout: DataFrame, replicates: int, seed: int) -> DataFrame:
+def own_seed(seed: int, name: Column) -> Column:
+    """``seed`` xor the first 16 hex digits of the name's SHA-256, as an unsigned decimal text."""
+    h = F.sha2(name, 256)
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    high, low = half(1).bitwiseXOR(F.lit(seed >> 32)), half(9).bitwiseXOR(F.lit(seed & 0xFFFFFFFF))
+    return (high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(20,0)").cast("string")
+
+
+def hash_draws(layout: DataFrame, replicates: int, seed: int | str) -> DataFrame:
     """(stratum, size, replicate, place, weight) from a hash of (seed, replicate, stratum, draw), the same on any engine.
 
-    ``layout``: (stratum, size).  The index of a draw is the first 8 hex digits of the md5 of the key, modulo size.
+    ``layout``: (stratum, size), and the seed if ``seed`` names a column.  The index of a draw is the first 8 hex digits
+    of the md5 of the key, modulo size.
     """
-    s = layout.select("stratum", "size").distinct()
-    d = s.select("stratum", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))).alias("draw"))
-    key = F.concat_ws("|", F.lit(str(seed)), "replicate", "stratum", "draw")
+    of = F.col(seed) if isinstance(seed, str) else F.lit(str(seed))
+    s = layout.select("stratum", "size", of.alias("seed_")).distinct()
+    d = s.select("stratum", "size", "seed_", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))).alias("draw"))
+    key = F.concat_ws("|", "seed_", "replicate", "stratum", "draw")
     place = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("size")
     return d.groupBy("stratum", "size", "replicate", place.alias("place")).agg(F.count("*").alias("weight"))
 
@@ -101,14 +111,18 @@ def estimates(points: DataFrame, draws: DataFrame, counts: DataFrame, level: flo
     return t.select("candidate_id", *cols, "blocks", "id_blocks", "transfer_blocks", "base_correct_blocks")
 
 
-def cluster_samples(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """candidate_id, target_id, replicate, accuracy, delta, regression, token_cost with tasks as clusters, by target."""
+def cluster_samples(pairs: DataFrame, replicates: int, seed: int, own_seeds: bool = False) -> DataFrame:
+    """candidate_id, target_id, replicate, accuracy, delta, regression, token_cost with tasks as clusters, by target.
+
+    With ``own_seeds`` each candidate's target draws with a seed of its own.
+    """
     tasks = pairs.groupBy("candidate_id", "target_id", "task_id").agg(
         F.count("*").alias("n"), F.count_if(passed()).alias("c"), F.count_if(base_passed()).alias("b"), F.count_if(base_passed() & ~passed()).alias("f"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tok")
     )
     w = Window.partitionBy("candidate_id", "target_id")
     placed = tasks.withColumn("place", F.row_number().over(w.orderBy("task_id")) - 1).withColumn("size", F.count("*").over(w)).withColumn("stratum", F.concat_ws("/", "candidate_id", "target_id"))
-    draws = hash_draws(placed, replicates, seed)
+    placed = placed.withColumn("own_", own_seed(seed, F.concat_ws("\0", "candidate_id", "target_id")))
+    draws = hash_draws(placed, replicates, "own_" if own_seeds else seed)
     s = placed.join(draws, ["stratum", "size", "place"]).groupBy("candidate_id", "target_id", "replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("n", "c", "b", "f", "tok")])
     n = F.col("n")
     return s.select("candidate_id", "target_id", "replicate", (F.col("c") / n).alias("accuracy"), ((F.col("c") - F.col("b")) / n).alias("delta"), (F.col("f") / F.nullif(F.col("b"), F.lit(0))).alias("regression"), (F.col("tok") / n).alias("token_cost"))

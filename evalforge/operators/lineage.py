@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import cut
@@ -85,6 +85,25 @@ def store(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return artifacts.select("content_hash", "content").dropDuplicates(["content_hash"]), artifacts.select("version_id", "parent_version_id", "content_hash")
 
 
+def save(artifacts: DataFrame, path: str) -> None:
+    """Writes contents once by their digest, and all derivations."""
+    contents, lineage = store(artifacts)
+    contents.write.mode("overwrite").parquet(f"{path}/contents")
+    lineage.write.mode("overwrite").parquet(f"{path}/lineage")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(contents, lineage) of a saved store; a digest that isn't its content's, a derivation without content, a missing parent or a cycle is an error."""
+    contents, lineage = spark.read.parquet(f"{path}/contents"), spark.read.parquet(f"{path}/lineage")
+    wrong = contents.where(F.sha2("content", 256) != F.col("content_hash")).select("content_hash")
+    lost = lineage.join(contents, "content_hash", "left_anti").select("content_hash")
+    odd = lineage_violations(lineage).where("problem <> 'content_drift'").select(F.col("version_id").alias("content_hash"))
+    for what, found in (("contents that aren't their digest's", wrong), ("derivations without content", lost), ("broken lineage", odd)):
+        if not found.isEmpty():
+            raise ValueError(f"{what}: {[r.content_hash for r in found.limit(5).collect()]}")
+    return contents, lineage
+
+
 def ancestors(lineage: DataFrame) -> DataFrame:
     """(version_id, ancestor_id, least distance) at any depth by doubling: each round joins all paths to all paths.
 

@@ -80,6 +80,22 @@ def controls(df: DataFrame, k: int) -> DataFrame:
     return top(df, [F.asc("candidate_id")], k)
 
 
+def capped(df: DataFrame, k: int, cap: int) -> DataFrame:
+    """Highest accuracy, of no more than ``cap`` rows."""
+    return by_accuracy(df, min(k, cap))
+
+
+def full_merge(df: DataFrame, k: int) -> DataFrame:
+    """The first rows in the order in which they came (pos)."""
+    return top(df, [F.asc("pos")], k)
+
+
+def archive_selection(df: DataFrame, k: int) -> DataFrame:
+    """The feasible front, or what an archive of ``k`` keeps of it, by id: (.., reasons array, v1..)."""
+    kept = pareto.capacity_kept(pareto.front(df.where(F.size("reasons") == 0), tolerance=1e-12), "candidate_id", k)
+    return top(kept, [F.asc("candidate_id")], k)
+
+
 def _ties() -> list[Column]:
     return [F.asc("regression"), F.asc("token_cost"), F.asc("content_hash")]
 
@@ -123,28 +139,57 @@ def hash_sample(blocks: DataFrame, n: int, salt: str, per: str = "target_id") ->
     return blocks.withColumn("digest", digest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+@dataclass(frozen=True)
+class Plugin:
+    """A method: how it proposes subsets (ids, most, seed) and how it selects (table, k)."""
+
+    select: Callable[..., DataFrame]
+    propose: Callable[..., list[tuple[str, ...]]] | None = None
+
+
 @dataclass
 class Registry:
-    """Named selectors (DataFrame, k) -> DataFrame; a name can be registered once."""
+    """Named plugins; a name can be registered once."""
 
-    selectors: dict[str, Callable[..., DataFrame]] = field(default_factory=dict)
+    plugins: dict[str, Plugin] = field(default_factory=dict)
 
-    def register(self, name: str, selector: Callable[..., DataFrame]) -> None:
-        """Adds a selector."""
-        if name in self.selectors:
-            raise ValueError(f"selector {name!r} is registered already")
-        self.selectors[name] = selector
+    def register(self, name: str, plugin: Plugin | Callable[..., DataFrame]) -> None:
+        """Adds a plugin, or a selector alone."""
+        if name in self.plugins:
+            raise ValueError(f"{name!r} is registered already")
+        self.plugins[name] = plugin if isinstance(plugin, Plugin) else Plugin(plugin)
+
+    def plugin(self, name: str) -> Plugin:
+        """The plugin of this name."""
+        if name not in self.plugins:
+            raise KeyError(f"no plugin {name!r}")
+        return self.plugins[name]
 
     def get(self, name: str) -> Callable[..., DataFrame]:
         """The selector of this name."""
-        if name not in self.selectors:
-            raise KeyError(f"no selector {name!r}")
-        return self.selectors[name]
+        return self.plugin(name).select
+
 
+def builtin(weights: dict[str, float] | None = None, reference: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0), cap: int = 8) -> Registry:
+    """The twelve methods: two controls, composition, merge, accuracy, weighted sum, product, capped top-k, fronts, contribution, and two archives."""
+    from . import controllers
 
-def builtin() -> Registry:
-    """The selectors of this module that need no more than a pool and k."""
     r = Registry()
-    for name, f in {"accuracy": by_accuracy, "feasible_accuracy": feasible_by_accuracy, "hard_easy_product": hard_easy_product, "fronts": survivors, "control": controls}.items():
-        r.register(name, f)
+    equal = [1.0 / len(reference)] * len(reference)
+    selectors = {
+        "no_skill": controls,
+        "base": controls,
+        "random_composition": feasible_by_accuracy,
+        "full_merge": full_merge,
+        "accuracy": by_accuracy,
+        "fixed_scalarization": lambda df, k: scalarised(df, weights or {"accuracy": 0.25, "transfer": 0.25, "token_cost": 0.25, "regression": 0.25}, k),
+        "hard_easy_product": hard_easy_product,
+        "capped_top_k": lambda df, k: capped(df, k, cap),
+        "fronts": survivors,
+        "contribution": lambda df, k: by_contribution(df, equal, list(reference), k),
+        "passive_archive": archive_selection,
+        "conditioned_archive": archive_selection,
+    }
+    for name, f in selectors.items():
+        r.register(name, Plugin(f, lambda ids, most, seed, method=name: controllers.static_subsets(method, ids, most, seed)))
     return r
