@@ -23,12 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a temporary folder of this machine is set.
+    Where a local session names none (tests) a temporary folder of this machine is set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="evalforge-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evalforge-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -54,15 +55,25 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that ``staged`` wrote in this process; call it once results are written.  Returns their number."""
+def staged_now() -> int:
+    """How many staged tables there are, for ``release``."""
+    return len(_staged)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables that ``staged`` wrote in this process after ``since`` others; call it once results are written.  Returns their number."""
     n = 0
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    while len(_staged) > since:
+        n += remove(spark, _staged.pop())
     return n
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def bounded(df: DataFrame, key, rows: int) -> DataFrame:
     """At most ``rows`` of the rows of ``df``: those with the smallest ``key`` (a hash, a long), found by a histogram of its upper 16 bits.
 

@@ -78,3 +78,24 @@ def test_entry(spark):
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] and names["pipeline"] is corpus_pipeline.run
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Empty tables, and repeated ids; nothing but the last result is left in the shared folder."""
+    import os
+
+    from evalforge.llm import _base
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    spark.createDataFrame([(1, words(i), "en", "s", 5) for i in range(20)] + [(None, words(3), None, None, None)], shape).write.parquet(f"{tmp_path}/same/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/same/labels.parquet")
+    mark = _base.staged_now()
+    out = corpus_pipeline.run(spark, f"{tmp_path}/same")
+    assert out.agg(F.sum("length")).first()[0] > 0 and _base.staged_now() == mark
+    folder = _base.shared_dir(spark).removeprefix("file:")
+    left = [n for n in os.listdir(folder) if n.startswith("pipeline-")]
+    assert all(n.endswith("packing") for n in left)
