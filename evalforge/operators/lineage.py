@@ -105,21 +105,21 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ancestors(lineage: DataFrame) -> DataFrame:
-    """(version_id, ancestor_id, least distance) at any depth by doubling: each round joins all paths to all paths.
+    """(version_id, ancestor_id, least distance) at any depth by doubling, cycles included.
 
-    Ends when a round finds no new pair: then no pair is further apart.  Pairs are finite, so cycles end too.
+    Once all pairs up to a reach are known, those up to twice the reach are a pair at exactly the reach and one of the
+    known pairs, for on a shortest path the version at the reach is no nearer than that.  So a round makes hardly more rows
+    than it keeps; the last round finds no pair at exactly the reach.
     """
     paths = cut(lineage.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("ancestor_id"), F.lit(1).alias("distance")).distinct())
-    count = paths.count()
-    while True:
-        a = paths.toDF("version_id", "middle", "near")
+    reach = 1
+    while not (jump := paths.where(F.col("distance") == reach)).isEmpty():
+        a = jump.select("version_id", F.col("ancestor_id").alias("middle"))
         b = paths.toDF("middle", "ancestor_id", "far")
-        longer = a.join(b, "middle").select("version_id", "ancestor_id", (F.col("near") + F.col("far")).alias("distance"))
+        longer = a.join(b, "middle").select("version_id", "ancestor_id", (F.lit(reach) + F.col("far")).alias("distance"))
         paths = cut(paths.unionByName(longer).groupBy("version_id", "ancestor_id").agg(F.min("distance").alias("distance")))
-        now = paths.count()
-        if now == count:
-            return paths
-        count = now
+        reach *= 2
+    return paths
 
 
 def on_cycles(lineage: DataFrame) -> DataFrame:

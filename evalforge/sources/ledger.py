@@ -322,8 +322,11 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
     files.rename(new, to, mode)
 
 
-def load_config(path: str, overrides: dict[str, object] | None = None, environment: dict[str, str] | None = None) -> dict:
-    """Driver-side JSON or YAML configuration with dotted overrides and ${NAME} placeholders from ``environment``."""
+def load_config(path: str, overrides: dict[str, object] | None = None, environment: dict[str, str] | None = None, profile: str | None = None) -> dict:
+    """Driver-side JSON or YAML configuration with dotted overrides and ${NAME} placeholders from ``environment``.
+
+    A ``profile`` is a set of dotted overrides that the file has under "profiles"; ``overrides`` come after it.
+    """
     text = open(path, encoding="utf-8").read()
     try:
         config = json.loads(text)
@@ -333,6 +336,11 @@ def load_config(path: str, overrides: dict[str, object] | None = None, environme
         config = yaml.safe_load(text)
     if not isinstance(config, dict):
         raise LedgerError("a configuration is a mapping")
+    profiles = config.pop("profiles", {}) if profile is not None else {}
+    if profile is not None:
+        if profile not in profiles:
+            raise LedgerError(f"no profile {profile!r}")
+        overrides = {**profiles[profile], **(overrides or {})}
     for dotted, value in (overrides or {}).items():
         at = config
         *parents, last = dotted.split(".")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest
+from ..functions.durable import cut
 from ..operators import checks, verify
 from ..operators.objectives import OBJECTIVES, Constraints
 
@@ -237,6 +238,18 @@ def tree_digest(files: DataFrame, group: list[str] | None = None) -> DataFrame:
     return files.groupBy(*(group or [])).agg(F.sha2(text, 256).alias("sha256"))
 
 
+def content_sha256(files: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group.., sha256): the digest of whole trees: each path, a zero byte, its bytes and a zero byte, by path.
+
+    ``files``: (group.., path, content binary).  A tree is one row, so it must fit in memory; ``tree_digest`` needs no more
+    than the files' own digests.
+    """
+    zero = F.lit(b"\0")
+    part = lambda x: F.concat(F.encode(x["path"], "UTF-8"), zero, x["content"], zero)
+    tree = F.array_sort(F.collect_list(F.struct("path", "content")))
+    return files.groupBy(*(group or [])).agg(F.sha2(F.aggregate(tree, F.lit(b""), lambda a, x: F.concat(a, part(x))), 256).alias("sha256"))
+
+
 def base_version(content_hash: str, label: str = "base") -> str:
     """Version id of a base artifact."""
     return f"{label}-{digest({'parent': None, 'content_hash': content_hash})[:16]}"
@@ -413,6 +426,19 @@ class Ablations:
         return ablated(config, self.overrides[name])
 
 
+def generated(requests: DataFrame, cache, generate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cache_key, request, response, cache_hit) of each different request: stored responses, and new ones, which are stored first.
+
+    ``requests``: (request); ``cache``: a ``GenerationCache``; ``generate``: (request) -> (request, response), which sees
+    only what the cache lacks.
+    """
+    keyed_ = requests.select("request").distinct().withColumn("cache_key", F.sha2("request", 256))
+    known = cut(cache.get(keyed_).select("cache_key"))
+    cache.store(generate(keyed_.join(known, "cache_key", "left_anti").select("request")))
+    hit = known.withColumn("hit_", F.lit(True))
+    return cache.get(keyed_).join(hit, "cache_key", "left").select("cache_key", "request", "response", F.coalesce("hit_", F.lit(False)).alias("cache_hit"))
+
+
 def payloads(requests: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``payload``: the JSON object that would be sent for a request."""
     return requests.withColumn("payload", json_object(columns))

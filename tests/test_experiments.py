@@ -429,3 +429,39 @@ def test_search_diverse_is_stable():
 def test_names_of_versions():
     assert manifest.base_version("h") == manifest.base_version("h") != manifest.base_version("i")
     assert manifest.EMPTY_SHA256.startswith("e3b0c442")
+
+
+def test_tree_digests(spark):
+    import hashlib
+
+    files = {"b/x.md": b"one\0two", "a.md": "é".encode(), "b.md": b""}
+    df = spark.createDataFrame([("t", p, bytearray(c)) for p, c in files.items()], "tree string, path string, content binary")
+    h = hashlib.sha256()
+    for p in sorted(files):
+        h.update(p.encode() + b"\0" + files[p] + b"\0")
+    assert manifest.content_sha256(df, ["tree"]).first().sha256 == h.hexdigest()
+    own = "".join(f"{p}\0{hashlib.sha256(files[p]).hexdigest()}\0" for p in sorted(files))
+    assert manifest.tree_digest(df.select("path", F.sha2("content", 256).alias("sha256"))).first().sha256 == hashlib.sha256(own.encode()).hexdigest()
+
+
+def test_generations_come_from_the_cache(spark, tmp_path):
+    cache, seen = ledger.GenerationCache(spark, str(tmp_path / "g")), []
+
+    def generate(missing):
+        seen.append(sorted(r.request for r in missing.collect()))
+        return missing.withColumn("response", F.upper("request"))
+
+    one = spark.createDataFrame([("a",), ("b",), ("a",)], "request string")
+    got = {r.request: (r.response, r.cache_hit) for r in manifest.generated(one, cache, generate).collect()}
+    assert got == {"a": ("A", False), "b": ("B", False)}
+    got = {r.request: r.cache_hit for r in manifest.generated(spark.createDataFrame([("b",), ("c",)], "request string"), cache, generate).collect()}
+    assert got == {"b": True, "c": False} and seen == [["a", "b"], ["c"]]
+
+
+def test_profiles(tmp_path):
+    f = tmp_path / "c.json"
+    f.write_text('{"a": {"b": 1}, "profiles": {"quick": {"a.b": 2, "a.c": 3}}}')
+    assert ledger.load_config(str(f), profile="quick") == {"a": {"b": 2, "c": 3}}
+    assert ledger.load_config(str(f), {"a.b": 9}, profile="quick")["a"] == {"b": 9, "c": 3}
+    with pytest.raises(ledger.LedgerError):
+        ledger.load_config(str(f), profile="none")
