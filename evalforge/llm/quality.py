@@ -45,7 +45,7 @@ WORDS = 64
 LANGS, SOURCES = 8, 16
 METADATA = ("log_chars", "stated_off", "log_lines", "line_length", "repeated_lines", "blank_lines", "short_lines", "no_lang", "no_source") + tuple(f"lang{i}" for i in range(LANGS)) + tuple(f"source{i}" for i in range(SOURCES))
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _SYMBOLS = [ord(c) for c in "#*$%&|<>@^~=+_\\{}[]"]
 
 

@@ -43,7 +43,7 @@ REST = math.log1p(-DENSITY)
 #: Segments from this score on fit the extreme-value law's constant.
 FLOOR = 3.0
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _STRIP = re.compile(r"[\W_]+")
 
 
