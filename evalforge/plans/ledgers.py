@@ -155,12 +155,18 @@ def budget_curve(spark, sf):
     return rounded(accounting.budget_curve(e, [100, 400, 900, 2000], [-2.0, -1.0]), "hypervolume")
 
 
-_TARGETS = "t AS (SELECT * FROM (VALUES ('t0', false, NULL, 'id', NULL, NULL, 's0', false), ('t1', NULL, NULL, NULL, 'g1', NULL, 's0', false), ('t2', true, NULL, 'transfer', 'g2', NULL, 's2', true), ('t3', NULL, 'transfer', 'id', 'g3', NULL, 's2', NULL), ('t4', NULL, NULL, 'other', NULL, 'mine', 's4', true)) x(target_id, excluded, override, role, transfer_group, declared_group, signature, reuse))"
+_TARGETS = "t AS (SELECT 't' || c_custkey AS target_id, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS excluded, CASE WHEN c_custkey % 7 = 0 THEN 'transfer' END AS override, CASE c_custkey % 4 WHEN 0 THEN 'id' WHEN 1 THEN 'transfer' WHEN 2 THEN 'other' END AS role, CASE WHEN c_custkey % 3 = 0 THEN 'g' || c_custkey % 6 END AS transfer_group, CASE WHEN c_custkey % 11 = 0 THEN 'mine' END AS declared_group, 's' || round(c_acctbal)::INT AS signature, CASE c_custkey % 13 WHEN 0 THEN true WHEN 1 THEN false END AS reuse FROM customer)"
 
 
-def _targets(spark):
-    rows = [("t0", False, None, "id", None, None, "s0", False), ("t1", None, None, None, "g1", None, "s0", False), ("t2", True, None, "transfer", "g2", None, "s2", True), ("t3", None, "transfer", "id", "g3", None, "s2", None), ("t4", None, None, "other", None, "mine", "s4", True)]
-    return spark.createDataFrame(rows, "target_id string, excluded boolean, override string, role string, transfer_group string, declared_group string, signature string, reuse boolean")
+def _targets(spark, sf):
+    """Customers as targets, with all combinations of what may be declared."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    k = F.col("c_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    return c.select(
+        text("t", k).alias("target_id"), F.when(k % 5 == 0, True).when(k % 5 == 1, False).alias("excluded"), F.when(k % 7 == 0, "transfer").alias("override"), F.when(k % 4 == 0, "id").when(k % 4 == 1, "transfer").when(k % 4 == 2, "other").alias("role"),
+        F.when(k % 3 == 0, text("g", k % 6)).alias("transfer_group"), F.when(k % 11 == 0, "mine").alias("declared_group"), text("s", F.round("c_acctbal").cast("int")).alias("signature"), F.when(k % 13 == 0, True).when(k % 13 == 1, False).alias("reuse"),
+    )
 
 
 _ROLES = "CASE WHEN coalesce(excluded, false) THEN 'diagnostic' ELSE coalesce(override, CASE WHEN role IN ('id', 'transfer', 'diagnostic') THEN role END, CASE WHEN transfer_group IS NOT NULL THEN 'transfer' END) END"
@@ -169,7 +175,7 @@ _ROLES = "CASE WHEN coalesce(excluded, false) THEN 'diagnostic' ELSE coalesce(ov
 @query(f"WITH {_TARGETS} SELECT target_id, {_ROLES} AS role FROM t")
 def role_resolution(spark, sf):
     """Final roles of targets by precedence."""
-    return dedup.roles(_targets(spark))
+    return dedup.roles(_targets(spark, sf))
 
 
 _GROUPS = "coalesce(declared_group, CASE WHEN max(coalesce(reuse, false)) OVER (PARTITION BY signature) THEN 'shared:' || sha256(signature) END, 'target:' || target_id)"
@@ -178,7 +184,7 @@ _GROUPS = "coalesce(declared_group, CASE WHEN max(coalesce(reuse, false)) OVER (
 @query(f"WITH {_TARGETS} SELECT target_id, {_GROUPS} AS execution_group FROM t")
 def execution_groups(spark, sf):
     """Targets that share their executions."""
-    return dedup.execution_groups(_targets(spark))
+    return dedup.execution_groups(_targets(spark, sf))
 
 
 def _final_rows(spark, sf):
@@ -253,12 +259,14 @@ def verify_text(spark, sf):
     return d.select("doc_id", verify.nonempty(t).alias("nonempty"), verify.contains(t, "AND the", True).alias("contains"), verify.full_match(t, "[A-Z][^0-9]*").alias("matches"), verify.exact(F.col("lang"), " EN", True, True).alias("exact"))
 
 
-@query("SELECT event_id, coalesce(abs(try_cast(json_extract_string(props, '$.k') AS DOUBLE) - 50) <= 10, false) AS near, coalesce(json_extract_string(props, '$.k') = '42', false) AS field, false AS flag, sha256(props) = sha256(props) AS same FROM events")
+@query("SELECT event_id, coalesce(abs(try_cast(json_extract_string(props, '$.k') AS DOUBLE) - 50) <= 10, false) AS near, coalesce(json_extract_string(props, '$.k') = '42', false) AS field, event_id % 3 = 0 AS flag, sha256(props) = sha256(props) AS same FROM events")
 def verify_json(spark, sf):
     """JSON path predicates."""
     e = events(spark, sf)
     at = verify.json_text(F.col("props"), "$.k")
-    return e.select("event_id", verify.numeric(at, 50.0, 10.0).alias("near"), verify.exact_json_field(["k"], 42)("props").alias("field"), verify.json_boolean(F.col("props"), "$.k", True).alias("flag"), canonical.stable_hash(F.col("props")).isNotNull().alias("same"))
+    said = F.when(F.col("event_id") % 3 == 0, "true").when(F.col("event_id") % 3 == 1, '"true"').otherwise("false")
+    flagged = F.concat(F.lit('{"p":'), "props", F.lit(',"ok":'), said, F.lit("}"))
+    return e.select("event_id", verify.numeric(at, 50.0, 10.0).alias("near"), verify.exact_json_field(["k"], 42)("props").alias("field"), verify.json_boolean(flagged, "$.ok", True).alias("flag"), canonical.stable_hash(F.col("props")).isNotNull().alias("same"))
 
 
 @query("SELECT event_id, sha256(replace(props, ' ', '')) AS cache_key FROM events")

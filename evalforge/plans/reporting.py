@@ -60,10 +60,11 @@ def frontier_summary(spark, sf):
     return rounded(reports.frontier_summary(_scored(spark, sf)), "feasible_rate")
 
 
-@query("SELECT * FROM (VALUES ('base', 1::BIGINT), ('m1', 1), ('m1', 2), ('m1', 3), ('m2', 1), ('m2', 2), ('m2', 3)) t(method_id, search_seed)")
+@query("SELECT n_name AS method_id, s AS search_seed FROM nation, (VALUES (3::BIGINT), (1), (2)) x(s) WHERE n_regionkey <> 2 OR s = 3")
 def run_matrix(spark, sf):
     """Methods by seeds; a control runs once."""
-    return reports.run_matrix(spark.createDataFrame([("base", True), ("m1", False), ("m2", False)], "method_id string, control boolean"), [1, 2, 3])
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("method_id"), (F.col("n_regionkey") == 2).alias("control"))
+    return reports.run_matrix(n, [3, 1, 2])
 
 
 @query(f"WITH {outcomes_sql()}, t AS (SELECT DISTINCT task_id FROM o), s AS (SELECT * FROM (VALUES (17), (29), (43)) x(seed)) SELECT task_id, CAST(seed AS BIGINT) AS seed, sha256(task_id || chr(0) || 's' || chr(0) || 'id' || chr(0) || seed) AS block_id FROM t, s")

@@ -25,20 +25,24 @@ def query(sql: str | None = None):
     return add
 
 
-_DRAWS = "g AS (SELECT d AS draw, 'p' || p AS patch_id FROM generate_series(0, 299) a(d), generate_series(0, 6) b(p)), s AS (SELECT draw, string_agg(patch_id, ',' ORDER BY patch_id) AS subset FROM g WHERE ('0x' || substr(md5('11|' || draw || '|' || patch_id), 1, 8))::BIGINT / 4294967296.0 < 0.5 GROUP BY draw)"
+_DRAWS = "g AS (SELECT d AS draw, r_name AS patch_id FROM generate_series(0, 299) a(d), region), s AS (SELECT draw, string_agg(patch_id, ',' ORDER BY patch_id) AS subset FROM g WHERE ('0x' || substr(md5('11|' || draw || '|' || patch_id), 1, 8))::BIGINT / 4294967296.0 < 0.5 GROUP BY draw)"
+
+
+def _universe(spark, sf):
+    return spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_name").alias("patch_id"))
 
 
 @query(f"WITH {_DRAWS} SELECT draw, subset FROM s")
 def bernoulli_subsets(spark, sf):
-    """Random subsets of seven patches."""
-    return search.bernoulli(search.patches(spark, IDS), 0, 300, 0.5, 11).select("draw", F.array_join("subset", ",").alias("subset"))
+    """Random subsets of a universe."""
+    return search.bernoulli(_universe(spark, sf), 0, 300, 0.5, 11).select("draw", F.array_join("subset", ",").alias("subset"))
 
 
-@query(f"WITH {_DRAWS} SELECT min(draw) AS draw, subset FROM s GROUP BY subset HAVING subset NOT IN ('p0', 'p1,p2')")
+@query(f"WITH {_DRAWS} SELECT min(draw) AS draw, subset FROM s GROUP BY subset HAVING subset NOT IN ('ASIA', 'AFRICA,EUROPE')")
 def unique_subsets(spark, sf):
     """Each subset once, without those that are known."""
-    seen = spark.createDataFrame([(["p0"],), (["p1", "p2"],)], "subset array<string>")
-    return search.unique(search.bernoulli(search.patches(spark, IDS), 0, 300, 0.5, 11), seen).select("draw", F.array_join("subset", ",").alias("subset"))
+    seen = spark.createDataFrame([(["ASIA"],), (["AFRICA", "EUROPE"],)], "subset array<string>")
+    return search.unique(search.bernoulli(_universe(spark, sf), 0, 300, 0.5, 11), seen).select("draw", F.array_join("subset", ",").alias("subset"))
 
 
 @query("SELECT event_id, ('0x' || substr(h, 1, 2))::BIGINT < 166 AS correct, 24 + ('0x' || substr(h, 3, 2))::BIGINT % 9 AS input_tokens, 8 + ('0x' || substr(h, 5, 2))::BIGINT % 13 AS output_tokens, (1 + ('0x' || substr(h, 7, 2))::BIGINT % 5)::DOUBLE AS latency_ms FROM (SELECT event_id, sha256(sha256(replace(props, ' ', ''))) AS h FROM events)")
