@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "fingerprint", "rules", "packing", "extract", "toxicity", "lm", "simhash", "chat", "phrases")
+MODULES = ("mixing", "quality", "fingerprint", "rules", "packing", "extract", "toxicity", "lm", "simhash", "chat", "phrases", "codes", "urls")
 
 
 def _all(name: str) -> dict:
