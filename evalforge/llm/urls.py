@@ -91,7 +91,7 @@ def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select(F.coalesce("host", F.lit("")).alias("domain"), F.coalesce("path", F.lit("")).alias("start"), "verdict").distinct()
     labels = F.split("host", r"\.", -1)
     chain = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    domains = rows.select("host").distinct().withColumn("labels", labels).select("host", F.explode(chain).alias("domain"))
+    domains = rows.select("host").distinct().withColumn("labels", labels).select("host", F.explode(chain).alias("domain")).where("domain <> '' or host = ''")
     whole = F.concat("domain", "start")
     fit = F.struct(F.char_length(whole).alias("n"), (F.col("verdict") == "block").alias("hard"), whole.alias("rule"), "start", "verdict")
     own = domains.join(r, "domain").groupBy("host").agg(F.collect_list(fit).alias("fits"))
