@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import checks, pareto
+from . import boxes, checks, pareto
 
 
 def runtime_blocks(tasks: DataFrame, seeds: list[int]) -> DataFrame:
@@ -55,20 +54,30 @@ def front_report(candidates: DataFrame, runs: DataFrame, reference: list[float])
 
     ``candidates``: (candidate_id, feasible, v1..) normalised; ``runs``: (method_id, search_seed, candidate_id).  A run
     without feasible candidates has volume and coverage 0 and no epsilon or igd; without a pooled front coverage is
-    null as well.  Candidates of a run are joined once; each indicator is one grouped join with the pooled front.
+    null as well.  Candidates of a run are joined once; a run's front meets each cell of the pooled front in a task,
+    where boxes tell what has to be compared.
     """
     cols, run = pareto.dims(candidates), ["method_id", "search_seed"]
     members = runs.distinct().join(candidates, "candidate_id")
     ok = members.where("feasible").select(*run, "candidate_id", *cols)
     own = pareto.front(ok, run)
-    pooled = pareto.front(ok.select("candidate_id", *cols).distinct()).select(*cols).distinct().withColumn("ref", F.monotonically_increasing_id())
-    size = pooled.agg(F.count("*").alias("pooled"))
+    q = boxes.cells(pareto.vectors(ok.select(*cols)), cols)
+    size = q.rows.agg(F.count("*").alias("pooled"))
     volume = pareto.hypervolume(own.select(*run, *cols), reference, run)
-    a, r = own.select(*run, *cols).distinct().alias("a"), pooled.alias("r")
-    worst = reduce(lambda x, y: F.greatest(x, y), [F.col(f"r.{c}") - F.col(f"a.{c}") for c in cols])
-    square = reduce(lambda x, y: x + y, [F.pow(F.col(f"r.{c}") - F.col(f"a.{c}"), 2) for c in cols])
-    near = a.join(r).groupBy(*[F.col(f"a.{c}") for c in run], F.col("r.ref")).agg(F.min(worst).alias("e"), F.min(F.sqrt(square)).alias("d"), F.max(pareto.weakly("a", "r", cols).cast("int")).alias("hit"))
-    marks = near.groupBy(*run).agg(F.max("e").alias("epsilon"), F.avg("d").alias("igd"), F.avg("hit").alias("covered"))
+
+    def against(every: pa.Table, mine: pa.Table) -> pa.Table:
+        """The run's front against one cell of the pooled front."""
+        r, v = boxes.matrix(every, cols), boxes.matrix(mine, cols)
+        far, near = boxes.least(r, v, boxes.shift_bound, boxes.shift), boxes.least(r, v, boxes.distance_bound, boxes.distance)
+        of = {c: every.column(c).slice(0, 1).combine_chunks() for c in run}
+        return pa.table(of | {"e": [far.max()], "d": [near.sum()], "hit": [int((far <= 0).sum())], "n": [len(r)]})
+
+    cell = F.explode(F.sequence(F.lit(0), F.lit(max(len(q) - 1, 0)))).alias("cell")
+    left = own.select(*run).distinct().select(*run, cell).join(q.rows.select("cell", *cols), "cell")
+    right = own.select(*run, *cols).distinct().select(*[F.col(c).alias(c) for c in [*run, *cols]], cell).join(q.rows.select("cell").distinct(), "cell", "left_semi")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields if f.name in run)
+    met = left.groupBy(*run, "cell").cogroup(right.groupBy(*run, "cell")).applyInArrow(against, f"{fields}, e double, d double, hit long, n long")
+    marks = met.groupBy(*run).agg(F.max("e").alias("epsilon"), (F.sum("d") / F.sum("n")).alias("igd"), (F.sum("hit") / F.sum("n")).alias("covered"))
     counts = members.groupBy(*run).agg(F.count("*").alias("candidates"), F.count_if("feasible").alias("feasible"))
     fronts = own.groupBy(*run).agg(F.array_join(F.array_sort(F.collect_set("candidate_id")), ",").alias("front"))
     out = counts.join(fronts, run, "left").join(volume, run, "left").join(marks, run, "left").join(size)
