@@ -67,9 +67,15 @@ def samples(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
     st = strata(pairs)
     draws = hash_draws(st, replicates, seed)
     stats = block_statistics(pairs).join(st, ["candidate_id", *BLOCK])
-    groups = pairs.where("split = 'transfer'").groupBy("candidate_id").agg(F.count_distinct("grp").alias("groups"))
     w = lambda c: F.sum(F.col(c) * F.col("weight")).alias(c)
     by_group = stats.join(draws, ["stratum", "size", "place"]).groupBy("candidate_id", "replicate", "split", "grp").agg(*map(w, ("n", "c", "b", "f", "tok")))
+    return metrics(by_group, pairs)
+
+
+def metrics(by_group: DataFrame, pairs: DataFrame) -> DataFrame:
+    """candidate_id, replicate and the METRICS from a replicate's sums (n, c, b, f, tok) by split and group; sums without rows don't count."""
+    groups = pairs.where("split = 'transfer'").groupBy("candidate_id").agg(F.count_distinct("grp").alias("groups"))
+    by_group = by_group.where("n > 0")
     is_id, is_tr = F.col("split") == "id", F.col("split") == "transfer"
     part = lambda c: F.sum(F.when(is_id, F.col(c)))
     out = by_group.groupBy("candidate_id", "replicate").agg(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, checks, objectives, pareto, selection
+from ..operators import bootstrap, checks, objectives, pareto, resampling, selection
 from ..sources.outcomes import KEY, outcomes, outcomes_sql
 
-REPLICATES, SEED = 200, 20240501
+REPLICATES, FULL, SEED = 200, 2000, 20240501
 PAIRS_SQL = outcomes_sql() + """, p AS (
   SELECT o.candidate_id, o.target_id, o.task_id, o.seed, o.split, CASE WHEN o.split = 'transfer' THEN coalesce(o.transfer_group, o.target_id) END AS grp,
          o.correct AS cc, b.correct AS bc, o.input_tokens + o.output_tokens AS tok, o.input_tokens, o.output_tokens
@@ -218,6 +218,25 @@ def bootstrap_bounds(spark, sf):
     return rounded(e.select("candidate_id", *names), *names)
 
 
+_NAMES = [f"{m}_{n}" for m in bootstrap.METRICS for n in ("low", "high", "lcb", "ucb")]
+
+
+@query(SQL["bootstrap_bounds"].replace(f"generate_series(0, {REPLICATES - 1})", f"generate_series(0, {FULL - 1})"))
+def bootstrap_bounds_full(spark, sf):
+    """The bounds from as many replicates as the protocol's default."""
+    p = pairs(spark, sf)
+    e = bootstrap.estimates(objectives.objectives(p), bootstrap.samples(p, FULL, SEED), objectives.block_counts(p))
+    return rounded(e.select("candidate_id", *_NAMES), *_NAMES)
+
+
+@query()
+def bootstrap_tree_bounds(spark, sf):
+    """The bounds from draws by the multinomial tree; tests hold their law and their sums against brute force."""
+    p = pairs(spark, sf)
+    e = bootstrap.estimates(objectives.objectives(p), resampling.samples(p, FULL, SEED), objectives.block_counts(p))
+    return rounded(e.select("candidate_id", *_NAMES), *_NAMES)
+
+
 @query(f"WITH {PAIRS_SQL}, b AS (SELECT candidate_id, target_id, task_id, row_number() OVER (PARTITION BY candidate_id, target_id ORDER BY task_id) - 1 AS place, count(*) OVER (PARTITION BY candidate_id, target_id) AS size, candidate_id || '/' || target_id AS stratum FROM p GROUP BY candidate_id, target_id, task_id), l AS (SELECT DISTINCT stratum, size FROM b), dr AS (SELECT stratum, r AS replicate, ('0x' || substr(md5('7|' || r || '|' || stratum || '|' || d), 1, 8))::BIGINT % size AS place FROM l, generate_series(0, 49) a(r), generate_series(0, size - 1) c(d)) SELECT candidate_id, target_id, replicate::INT AS replicate, round(avg(cc::INT), 6) AS accuracy, round(avg(cc::INT - bc::INT), 6) AS delta, round(count(*) FILTER (bc AND NOT cc) / nullif(count(*) FILTER (bc), 0), 6) AS regression, round(avg(tok), 6) AS token_cost FROM dr JOIN b USING (stratum, place) JOIN p USING (candidate_id, target_id, task_id) GROUP BY ALL")
 def task_cluster_samples(spark, sf):
     """Replicates with tasks as clusters, by target."""

@@ -72,6 +72,13 @@ def cluster_intervals(spark, sf):
     return rounded(finals.cluster_intervals(pairs(spark, sf), 40, 7).select("candidate_id", "target_id", *names), *names)
 
 
+@query(SQL["cluster_intervals"].replace("generate_series(0, 39)", "generate_series(0, 1999)"))
+def cluster_intervals_full(spark, sf):
+    """The same from as many replicates as the protocol's default."""
+    names = [f"{m}_{n}" for m in finals.INTERVALS for n in ("low", "high")]
+    return rounded(finals.cluster_intervals(pairs(spark, sf), 2000, 7).select("candidate_id", "target_id", *names), *names)
+
+
 @query(f"WITH {OBJ_SQL} SELECT candidate_id, 0.0::DOUBLE AS accuracy_low, 1.0::DOUBLE AS accuracy_high, -1.0::DOUBLE AS delta_lcb, 1.0::DOUBLE AS delta_ucb, 0.0::DOUBLE AS token_cost_low, 999.0::DOUBLE AS token_cost_ucb, 1.0::DOUBLE AS regression_high FROM obj")
 def wide_bounds(spark, sf):
     """Bounds of candidates with too few blocks: the whole range."""

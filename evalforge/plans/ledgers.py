@@ -236,6 +236,19 @@ def sign_flip(spark, sf):
     return rounded(c.select("comparison", "mean", "p"), "mean", "p")
 
 
+_NATIONS = "d AS (SELECT c_nationkey AS k, (count(*) FILTER (c_custkey % 2 = 0) - count(*) FILTER (c_custkey % 2 = 1) + sum(c_custkey) % 7)::DOUBLE AS d FROM customer GROUP BY 1), l AS (SELECT list(d ORDER BY k) AS d FROM d), z AS (SELECT d, len(d) AS n, len(d) // 2 AS h FROM l)"
+_HALF = "list_sum(list_transform(range(1, {n} + 1), lambda i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN d[{at} + i] ELSE -d[{at} + i] END))"
+
+
+@query(f"WITH {_NATIONS}, a AS (SELECT {_HALF.format(n='h', at='0')} AS s, n, abs(list_sum(d)) AS seen FROM z, range((1 << h)::BIGINT) t(m)), b AS (SELECT {_HALF.format(n='n - h', at='h')} AS s FROM z, range((1 << (n - h))::BIGINT) t(m)), x AS (SELECT s, n, seen, count(*) AS k FROM a GROUP BY ALL), y AS (SELECT s, count(*) AS k FROM b GROUP BY ALL) SELECT any_value(n) AS differences, round(sum(CASE WHEN abs(x.s + y.s) >= seen THEN x.k * y.k ELSE 0 END) / pow(2, any_value(n)), 9) AS p FROM x, y")
+def sign_flip_nations(spark, sf):
+    """Exact p of as many differences as there are nations: half sums that meet in the middle."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    d = c.groupBy("c_nationkey").agg((F.count_if(F.col("c_custkey") % 2 == 0) - F.count_if(F.col("c_custkey") % 2 == 1) + F.sum("c_custkey") % 7).cast("double").alias("d"))
+    one = d.agg(F.transform(F.array_sort(F.collect_list(F.struct("c_nationkey", "d"))), lambda x: x["d"]).alias("d"))  # one number a nation
+    return one.select(F.size("d").cast("long").alias("differences"), F.round(inference.sign_flip_p("d"), 9).alias("p"))
+
+
 @query(_FLIP + ", h AS (SELECT *, least(1, (5 - row_number() OVER (ORDER BY p, comparison) + 1) * p) AS step FROM p) SELECT comparison, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING), 6) AS holm FROM h")
 def holm(spark, sf):
     """Holm's step-down over the family."""

@@ -417,7 +417,7 @@ def test_strict_merge_and_flips(spark):
     assert accounting.merged_strictly([a, a], ["k"], ["v"]).first().v == 1
     with pytest.raises(Exception, match="differ"):
         accounting.merged_strictly([a, a.withColumn("v", F.lit(2))], ["k"], ["v"]).collect()
-    long_ = spark.createDataFrame([([1.0] * 21,)], "d array<double>")
+    long_ = spark.createDataFrame([([1.0] * 41,)], "d array<double>")
     with pytest.raises(Exception, match="exact p"):
         long_.select(inference.sign_flip_p("d")).collect()
 
