@@ -1,12 +1,18 @@
 """Main text of web pages by template deduction over equivalence classes.
 
 Pages of one host are dealt into groups of bounded size, and hosts of few pages share
-a group.  A page is a sequence of tokens: tags, blocks of text, and the words of short
-blocks, told apart by the labelled path (tag, class and id of each element) at which
-they stand.  Tokens that share an occurrence vector over a host's pages form an
-equivalence class; classes that occur once in every page, in one order, are the
-template, and other constant classes nest in its slots (Arasu and Garcia-Molina,
-"Extracting structured data from web pages", 2003).
+a group, where pages of one layout learn from each other.  A page is a sequence of
+tokens: tags, blocks of text, and the words of short blocks.  Tokens that share an
+occurrence vector over the pages form an equivalence class; classes that occur once in
+every page, in one order, are the template, and other classes nest in its slots (Arasu and
+Garcia-Molina, "Extracting structured data from web pages", 2003).
+
+Tags get their roles from the classes, element by element from the root (``roles``): an
+element that occurs once in its parent on all pages is of the class of ones; siblings
+with one label are told apart by what of that class they hold, or else by the slot of the
+class in which they stand and, where a slot has as many on every page, by their place
+in it; what is left repeats, and is content.  So a menu and an article that are both a
+bare ``div`` have different roles, because their neighbours and contents do.
 
 What the template leaves open fills its slots.  The article's slot is found by how
 the open text is spread over the template's elements in all pages of the group: from
@@ -56,7 +62,7 @@ _VOID = set("br hr img input meta link source area base col embed track wbr".spl
 _ASIDE = set("head nav footer aside form fieldset menu dialog".split())
 #: Labels of reader comments and adverts within an article, which differ from page to page as its text does.
 _FOREIGN = set("comment comments disqus ad ads advert adverts advertisement advertising sponsored".split())
-#: Labels of notices and the like; used only for pages of which a group has less than SUPPORT, so that nothing can be deduced.
+#: Labels of notices and the like; used only for pages of which a group has less than SUPPORT, so that no text can be told to be the same on all.
 _UNPROVEN = set("share sharing social subscribe newsletter notice notices cookie cookies consent promo banner sidebar".split())
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -132,6 +138,149 @@ def parse(page: str | None) -> list[Token]:
     return out
 
 
+@dataclass(eq=False, slots=True)
+class _Node:
+    """An element of a page: its label, children and text blocks' own elements in order, and its role path."""
+
+    label: str
+    children: list = field(default_factory=list)
+    blocks: list = field(default_factory=list)
+    #: How often each label occurs below, blocks' own elements included.
+    below: Counter = field(default_factory=Counter)
+    role: str = ""
+
+
+def _tree(tokens: list[Token]) -> tuple[_Node, list[_Node]]:
+    """The root of a page's elements, and the element of each token: its own for an opening tag, else that in which it stands."""
+    root = _Node("")
+    last, of = {"": root}, []
+    for t in tokens:
+        if t.tag and t.text[1] != "/":
+            up, _, label = t.path.rpartition("/")
+            node = _Node(label)
+            last.get(up, root).children.append(node)
+            last[t.path] = node
+        elif not t.tag:
+            last[t.path].blocks.append(t.of)
+        of.append(last[t.path])
+
+    order = [root]
+    for node in order:
+        order += node.children
+    for node in reversed(order):
+        node.below.update(x for x in node.blocks if x)
+        for c in node.children:
+            node.below.update(c.below)
+            node.below[c.label] += 1
+    return root, of
+
+
+def _in_order(pages: list[list[str]]) -> list[str]:
+    """Of names that occur once on every page, those that stand in one order on all, as they come on the first page."""
+    once = set(pages[0]).intersection(*pages[1:])
+    place = {x: i for i, x in enumerate(pages[0]) if x in once}
+    for p in pages[1:]:
+        top = -1
+        for x in p:
+            if x in place and place[x] < top:
+                del place[x]
+            elif x in place:
+                top = place[x]
+    return sorted(place, key=place.get)
+
+
+def _named(parents: list[_Node]) -> None:
+    """Gives the children of one element, which every page has once, their roles."""
+    n = len(parents)
+    ones = {x for x, k in parents[0].below.items() if k == 1}.intersection(*({x for x, k in q.below.items() if k == 1} for q in parents[1:]))
+    held: dict[int, frozenset] = {}
+    inside = [{x: frozenset(ones & c.below.keys()) for c in q.children for x in ones & c.below.keys()} for q in parents]
+    steady = {x for x in ones if all(q.get(x) == inside[0].get(x) for q in inside)}  # together on all pages, or on none
+    names: list[list[str]] = []
+    for q in parents:
+        single = Counter(c.label for c in q.children)
+        own = []
+        for c in q.children:
+            marks = held[id(c)] = frozenset(steady & c.below.keys())
+            own.append(c.label if single[c.label] == 1 and c.label in ones else f"{c.label}{{{'+'.join(sorted(marks))}}}" if marks else "")
+        names.append(own)
+    root = _in_order([[x for x in own if x] for own in names]) if n else []
+    known = set(root)
+    slots: list[Counter] = []
+    for q, own in zip(parents, names, strict=True):
+        at, count = 0, Counter()
+        for i, c in enumerate(q.children):
+            if own[i] in known:
+                at = root.index(own[i]) + 1
+            else:
+                count[c.label, at] += 1
+        slots.append(count)
+    fixed = {k for k, v in slots[0].items() if all(o[k] == v for o in slots[1:])}
+    for q, own in zip(parents, names, strict=True):
+        at, count = 0, Counter()
+        for i, c in enumerate(q.children):
+            if own[i] in known:
+                at, name = root.index(own[i]) + 1, own[i]
+            else:
+                count[c.label, at] += 1
+                name = f"{c.label}@{at}" + (f"#{count[c.label, at]}" if (c.label, at) in fixed else "*")
+            c.role = f"{q.role}/{name}"
+
+
+def roles(pages: list[list[Token]]) -> list[list[Token]]:
+    """The tokens with paths of roles instead of labels; the pages are those of one host or layout."""
+    trees = [_tree(p) for p in pages]
+    stack = [[root for root, _ in trees]] if trees else []
+    while stack:
+        parents = stack.pop()
+        _named(parents)
+        by: dict[str, list[_Node]] = defaultdict(list)
+        for q in parents:
+            for c in q.children:
+                by[c.role].append(c)
+        for role, nodes in by.items():
+            if len(nodes) == len(parents) and role[-1] != "*":
+                stack.append(nodes)
+                continue
+            for node in nodes:  # what repeats keeps its labels
+                inner = [node]
+                for x in inner:
+                    for c in x.children:
+                        c.role = f"{x.role}/{c.label}"
+                    inner += x.children
+    return [[Token(node.role, t.text, t.of, t.tag) for t, node in zip(p, of, strict=True)] for p, (_, of) in zip(pages, trees, strict=True)]
+
+
+def _plain(role: str) -> str:
+    """The label of a role."""
+    return re.split(r"[{@]", role, maxsplit=1)[0]
+
+
+def layout(tokens: list[Token]) -> frozenset:
+    """The labels of a page's upper elements: what pages have in common that can learn from each other."""
+    return frozenset(t.path for t in tokens if t.tag and t.text[1] != "/" and t.path.count("/") <= 3)
+
+
+def told_apart(pages: list[list[Token]], hosts: list[str]) -> list[list[Token]]:
+    """``roles`` of the pages of each host; pages of hosts of fewer than SUPPORT different pages go by layout, however few there are of one."""
+    of: dict[object, list[int]] = defaultdict(list)
+    for i, h in enumerate(hosts):
+        of[h].append(i)
+    sets: dict[object, list[int]] = {}
+    for h, at in of.items():
+        if len(different([pages[i] for i in at if pages[i]])) >= SUPPORT:
+            sets[h] = [i for i in at if pages[i]]
+        else:
+            for i in at:
+                if pages[i]:
+                    sets.setdefault(layout(pages[i]), []).append(i)
+    out = list(pages)
+    for at in sets.values():
+        for i, p in zip(at, roles([pages[i] for i in at]), strict=True):
+            out[i] = p
+    return out
+
+
 def _atoms(tokens: list[Token]):
     """Tokens as the classes see them: (path, text) of tags and blocks, and of the words of short blocks that aren't prose."""
     for t in tokens:
@@ -203,7 +352,7 @@ class Template:
     #: Pages on which an element or block of this label was seen within the article, and outside.
     inside: Counter = field(default_factory=Counter)
     outside: Counter = field(default_factory=Counter)
-    #: Whether the group has too few pages to deduce anything, so that the meaning of tags and labels must do.
+    #: Whether the group has too few pages to tell what is the same on all, so that the meaning of tags and labels counts.
     unproven: bool = False
 
     def main(self, tokens: list[Token]) -> str | None:
@@ -211,7 +360,7 @@ class Template:
         below: dict[str, dict[str, None]] = defaultdict(dict)
         for t in tokens:
             if t.tag and t.text[1] != "/":
-                if self.unproven and t.path[1:].split(".")[0] in _LANDMARKS:
+                if self.unproven and _plain(t.path[1:]).split(".")[0] in _LANDMARKS:
                     return t.path
                 below[t.path.rpartition("/")[0]][t.path] = None
         at = ""
@@ -221,7 +370,7 @@ class Template:
                 return at  # its heading is part of it
             share = lambda c: self.spread[c][0] / self.spread[c][1] if c in self.spread and self.spread[c][1] else 0.0
             best = max(below.get(at, ()), key=share, default=None)
-            if best is None or share(best) <= MOST or best.rpartition("/")[2].split(".")[0] not in _NARROW:
+            if best is None or share(best) <= MOST or best[-1] == "*" or _plain(best.rpartition("/")[2]).split(".")[0] not in _NARROW:
                 return at
             at = best
 
@@ -248,7 +397,7 @@ class Template:
             found = drop.get(path)
             if found is None:
                 up, _, label = path.rpartition("/")
-                found = drop[path] = len(path) > len(main) and (self.foreign(label) or out(up))
+                found = drop[path] = len(path) > len(main) and (self.foreign(_plain(label)) or out(up))
             return found
 
         got = []
@@ -291,11 +440,10 @@ def deduce(pages: list[list[Token]], hosts: list[str]) -> Template:
     by_host = {h: different(v) for h, v in of.items()}
     all_ = different([p for v in by_host.values() for p in v])
     out = Template(unproven=len(all_) < SUPPORT)
-    if out.unproven:
-        return out
-    out.fixed = {h: _classes(v) for h, v in by_host.items() if len(v) >= SUPPORT}
-    if len(by_host) > 1:
-        out.fixed[""] = _classes(all_)
+    if not out.unproven:
+        out.fixed = {h: _classes(v) for h, v in by_host.items() if len(v) >= SUPPORT}
+        if len(by_host) > 1:
+            out.fixed[""] = _classes(all_)
     for h, pages_ in by_host.items():
         fixed = out.fixed.get(h, set()) | out.fixed.get("", set())
         for p in pages_:
@@ -320,7 +468,7 @@ def deduce(pages: list[list[Token]], hosts: list[str]) -> Template:
         for t in p:
             within = t.path.startswith(main + "/") or not t.tag and t.path == main
             if t.tag and t.text[1] != "/" and not main.startswith(t.path):
-                labels[within].add(t.path.rpartition("/")[2])
+                labels[within].add(_plain(t.path.rpartition("/")[2]))
             elif t.of:
                 labels[within].add(t.of)
         out.outside.update(labels[0])
@@ -332,7 +480,9 @@ def group_texts(pages: list[str | None], hosts: list[str] | None = None, known:
     """Main text of each page of one group, through the group's template or the ``known`` one."""
     parsed = [parse(p) for p in pages]
     hosts = hosts or [""] * len(pages)
-    known = known or deduce(parsed, hosts)
+    if known is None:
+        parsed = told_apart(parsed, hosts)
+        known = deduce(parsed, hosts)
     return ["\n".join(known.blocks(t, h)) for t, h in zip(parsed, hosts, strict=True)]
 
 
