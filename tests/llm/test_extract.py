@@ -103,3 +103,64 @@ def test_few_pages_and_copies():
 def test_nulls_and_empty():
     assert extract.group_texts([]) == []
     assert extract.group_texts([None, "", "plain words", "<p>", "<b>x</b>"]) == ["", "", "plain words", "", "x"]
+
+
+def bare(html):
+    """No element but the heading tells what it is."""
+    for t in ("article", "nav", "footer"):
+        html = html.replace(f"<{t}>", "<div>").replace(f"</{t}>", "</div>")
+    return html.replace('<div class="ad">', "<div>")
+
+
+def group_like_the_data(seed, n):
+    rnd = random.Random(seed)
+    paras = [[words(rnd, rnd.randrange(3, 40)) for _ in range(rnd.randrange(1, 6))] for _ in range(n)]
+    html = [like_the_data(i, "".join(rnd.choice([f"<p>{p}</p>", f"<p><b>{p}<br>"]) for p in ps), nav=words(rnd, rnd.randrange(3, 7)), ad=words(rnd, 9)) for i, ps in enumerate(paras)]
+    return html, ["\n".join([f"T {i}", *ps]) for i, ps in enumerate(paras)]
+
+
+def test_classes_decide(monkeypatch):
+    """Menus, adverts, article and footer that are all a bare div, with other words on each page: only the classes tell them apart."""
+    html, want = group_like_the_data(6, 14)
+    plain = [bare(h) for h in html]
+    assert extract.group_texts(plain) == want == extract.group_texts(html)
+    assert [extract.group_texts(plain[i : i + 3]) for i in (0, 3, 6)] == [want[i : i + 3] for i in (0, 3, 6)]
+    for names in ("_FOREIGN", "_UNPROVEN", "_LANDMARKS"):
+        monkeypatch.setattr(extract, names, set())
+    monkeypatch.setattr(extract, "_ASIDE", {"head"})
+    assert extract.group_texts(plain) == want == extract.group_texts(html)  # no list has a part in it
+    monkeypatch.setattr(extract, "told_apart", lambda pages, hosts: pages)
+    assert all(a != b for a, b in zip(extract.group_texts(plain), want))
+
+
+def test_roles():
+    html, _ = group_like_the_data(7, 5)
+    paths = [[t.path for t in p if t.tag and t.text == "<div>"] for p in extract.roles([extract.parse(bare(h)) for h in html])]
+    assert len({tuple(p) for p in paths}) == 1  # each div has the same role on all pages
+    menu, ad, article, footer = (p.rpartition("/")[2] for p in paths[0])
+    assert "ul" in menu and "h1" in article and ad == "div@1#1" and footer == "div@2#1"
+    optional = [bare(h).replace("</head>", "</head><div>notice</div>" if i % 2 else "</head>") for i, h in enumerate(html)]
+    got = [{t.path.rpartition("/")[2] for t in p if t.text == "<div>"} for p in extract.roles([extract.parse(h) for h in optional])]
+    assert all(menu in g and article in g for g in got)  # those that hold something of the class keep their roles
+    assert extract.roles([]) == [] and extract.roles([[]]) == [[]]
+
+
+def test_fixed_text_counts(monkeypatch):
+    """What the classes of text hold within the article's slot goes; without them it stays."""
+    rnd = random.Random(8)
+    html = [bare(like_the_data(i, f"<p>{words(rnd, 20)}</p><p>Read our terms</p><p>{words(rnd, 9)}</p>", ad=words(rnd, 5))) for i in range(8)]
+    assert not any("Read our terms" in t for t in extract.group_texts(html))
+    monkeypatch.setattr(extract, "_classes", lambda pages: set())
+    assert all("Read our terms" in t for t in extract.group_texts(html))
+
+
+def test_layouts_of_small_hosts():
+    """Hosts of one page learn from pages of their layout alone."""
+    html, want = group_like_the_data(9, 20)
+    mixed = [bare(h) if i % 2 else bare(h).replace("<body>", '<body><section class="top"></section>') for i, h in enumerate(html)]
+    assert extract.group_texts(mixed, [f"h{i}" for i in range(20)]) == want
+
+
+def test_deep_and_odd_pages():
+    deep = "<div>" * 300 + "x" + "</div>" * 300
+    assert extract.group_texts([deep] * 2 + ["</div></p>tail", "<div><p>a<div>b", "<article><p>one</article><article><p>two</article>"])[0] == "x"
