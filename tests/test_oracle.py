@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from evalforge.plans import evaluation, experiments, ledgers, reporting, searching
+from evalforge.plans import evaluation, experiments, ledgers, reporting, rollups, searching
 
 SF = "/root/testdata/sf0.01"
-QUERIES, SQL = {**evaluation.QUERIES, **ledgers.QUERIES, **reporting.QUERIES, **searching.QUERIES, **experiments.QUERIES}, {**evaluation.SQL, **ledgers.SQL, **reporting.SQL, **searching.SQL, **experiments.SQL}
+QUERIES, SQL = {**evaluation.QUERIES, **ledgers.QUERIES, **reporting.QUERIES, **searching.QUERIES, **experiments.QUERIES, **rollups.QUERIES}, {**evaluation.SQL, **ledgers.SQL, **reporting.SQL, **searching.SQL, **experiments.SQL, **rollups.SQL}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
