@@ -465,6 +465,7 @@ def expand(entries: DataFrame, evidence: DataFrame, propose: Callable[[str, str,
 
     ``entries``: (run_id, candidate_id, reasons, v1..); ``propose``: (parent, direction, turn) -> proposals;
     ``score``: proposals -> rows like ``entries``.  Each round looks at the bounded archive of all entries so far.
+    ``campaign.Campaign`` does the same through the admission fold, with a budget and a journal to resume from.
     """
     from . import archive
 
@@ -472,6 +473,7 @@ def expand(entries: DataFrame, evidence: DataFrame, propose: Callable[[str, str,
     for turn in range(rounds):
         working = archive.working_entries(entries, capacity)
         parent, direction = search.condition(working.select("candidate_id", *pareto.dims(entries)), directions, seed + turn)
-        new = score(propose(parent, direction, turn).limit(count))
+        asked = propose(parent, direction, turn)
+        new = score(asked.orderBy(*asked.columns).limit(count))  # the same rows whenever it is run
         entries = cut(entries.unionByName(new.select(*entries.columns)))
     return entries
