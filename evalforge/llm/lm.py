@@ -4,9 +4,12 @@ A bigram model with absolute discounting is interpolated with add-0.1 unigrams.
 Unigram counts are exact for every token.  Bigram counts are quantised on a
 logarithmic scale and kept in a Bloom filter: a bigram of level q is inserted with
 each of 1..q, and its level is read back by probing 1, 2, .. until a probe fails
-(Talbot and Osborne, 2007).  The filter goes to the workers as a broadcast of bounded
-size; bigrams and contexts beyond that bound keep their counts in a partitioned table,
-to which scoring joins, so the probabilities are the same whatever the bound is.
+(Talbot and Osborne, 2007).  What a context has in all, and what its bigrams take, is in
+the filter as well, in finer steps.  The filter consists of parts, one for a bucket of keys,
+that don't depend on any bound.  As many parts as a bound allows go to the workers as a
+broadcast; the keys of the others are probed where those parts lie, by a join on the
+bucket.  Frequent tokens' counts, and what the filter says of them as contexts, are broadcast
+up to another bound.  Both bounds decide where an answer is looked up, never what it is.
 
 The model is that of all bigrams that occur at least ``LEAST`` times, at any size of
 the corpus; a context keeps for the unigrams all that its bigrams don't take, so no
@@ -54,7 +57,9 @@ _BACK = U(pow(int(_M3), -1, 1 << 64))
 #: What stands for the end of a text, and for what precedes its first token.
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 _BITS32 = U(0xFFFFFFFF)
-_CONTEXT_COUNT, _CONTEXT_TAKEN = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+#: What sets the two numbers of a context apart, and the steps of their upper digit; the upper half, hence the bucket, stays.
+_CONTEXT_COUNT, _CONTEXT_TAKEN = U(0x78BD642F), U(0xA0B428DB)
+_STEPS = (np.arange(64, dtype=U) * U(0x9E3779B1)) & U(0xFFFFFFFF)
 _LEVEL_SALTS = np.arange(512, dtype=U) * _M1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -183,8 +188,10 @@ def _values() -> np.ndarray:
 #: The count that each level stands for; 0 for level 0.
 VALUES = _values()
 #: Contexts have finer steps: level q of a context stands for _FINE ** (q - 1) or less, so that what bigrams take is never understated.
-_FINE = 1.1
-_FINE_LEVELS = 400
+_FINE = 1.05
+_FINE_LEVELS = 700
+#: Steps of the lower digit of such a level; each step of the upper one is a key of its own.
+_DIGIT = 16
 
 
 def _fine_level(x: np.ndarray) -> np.ndarray:
@@ -225,35 +232,71 @@ def _bits_for(keys: int, levels_: int) -> int:
 
 @dataclass(frozen=True)
 class Filter:
-    """Log-frequency Bloom filter in parts, one a bucket of keys; part b has the bits from base[b] on."""
+    """Log-frequency Bloom filter in parts, one a bucket of keys; part b has the bits from base[b] on.
+
+    Of ``buckets`` parts (0: all that are here) the first len(base) - 1 are here.
+    """
 
     bits: np.ndarray
     base: np.ndarray
+    buckets: int = 0
 
     def level(self, key: np.ndarray, most: int = LEVELS) -> np.ndarray:
-        """Level of each key, by membership probes of 1, 2, ..; 0 if the first fails."""
-        out = np.zeros(len(key), np.int64)
-        if len(self.base) < 2:
+        """Level of each key, by membership probes of 1, 2, ..; 0 if the first fails, -1 if its part isn't here."""
+        here = len(self.base) - 1
+        part = _bucket(key, self.buckets or max(here, 1)).astype(np.int64)
+        out = np.where(part < here, 0, -1)
+        left = np.flatnonzero(part < here)
+        if not len(left):
             return out
-        part = _bucket(key, len(self.base) - 1).astype(np.int64)
-        base, size = self.base[part], (self.base[part + 1] - self.base[part]).astype(U)
-        left = np.arange(len(key))
+        part = part[left]
+        k, base, size = key[left], self.base[part], (self.base[part + 1] - self.base[part]).astype(U)
         for q in range(1, most + 1):
-            if not len(left):
-                break
-            k, b, s = key[left], base[left], size[left]
             alive = np.arange(len(left))
             start, step = _probe_start(k, q)
             for j in range(FIRST if q == 1 else LATER):
-                at = b[alive] + _probe(start[alive], step[alive], j, s[alive])
+                at = base[alive] + _probe(start[alive], step[alive], j, size[alive])
                 alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
                 if not len(alive):
                     break
-            left = left[alive]
+            left, k, base, size = left[alive], k[alive], base[alive], size[alive]
             out[left] = q
+            if not len(left):
+                break
         return out
 
 
+def _digits(key: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filter entries (key, level) of fine levels: the lower digit as a level, each step of the upper one as a key."""
+    keys, levels_ = [key], [q % _DIGIT + 1]
+    for h in range(1, int((q // _DIGIT).max(initial=0)) + 1):
+        on = key[q // _DIGIT >= h] ^ _STEPS[h]
+        keys.append(on)
+        levels_.append(np.ones(len(on), np.int64))
+    return np.concatenate(keys), np.concatenate(levels_)
+
+
+def _fine_of(f: Filter, key: np.ndarray) -> np.ndarray:
+    """The fine level of each key; 0 if it has none, -1 if its part isn't here."""
+    low = f.level(key, _DIGIT)
+    out = np.where(low > 0, low - 1, low)
+    left = np.flatnonzero(low > 0)
+    out[low > 0] = low[low > 0] - 1
+    for h in range(1, _FINE_LEVELS // _DIGIT + 1):
+        left = left[f.level(key[left] ^ _STEPS[h], 1) > 0]
+        if not len(left):
+            break
+        out[left] += _DIGIT
+    return np.where(low > 0, np.maximum(out, 1), low)
+
+
+def masses(f: Filter, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(in all, taken by bigrams, whether their part is here) of contexts as the filter has them; 1 and 0 for those that it doesn't."""
+    q, p = _fine_of(f, context ^ _CONTEXT_COUNT), _fine_of(f, context ^ _CONTEXT_TAKEN)
+    both = (q > 0) & (p > 0)
+    return np.where(both, np.maximum(_fine_value(q), _fine_value(p)), 1.0), np.where(both, _fine_value(p), 0.0), q >= 0
+
+
 class Vocabulary:
     """Sorted hashes of frequent tokens, looked up through an index on their upper bits."""
 
@@ -284,14 +327,24 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: totals, the exact counts of all tokens, the broadcast part (bounded by VOCABULARY and MOST_BITS), and what is beyond it."""
+    """What scoring needs: totals, the exact counts of all tokens, the broadcast part (bounded by VOCABULARY and MOST_BITS), and the filters' parts.
+
+    The first ``here`` of ``buckets`` parts are in the broadcast.
+    """
 
     n: int
     v: int
     counts: DataFrame
     shared: object
-    #: (key, level) of the bigrams and (context, total, taken) of the contexts that the filter has no room for.
-    rest: tuple[DataFrame, DataFrame] | None
+    #: (bucket, bits, size) of the bigrams' filter, and of the contexts'.
+    parts: tuple[DataFrame, DataFrame]
+    buckets: int
+    here: int
+
+    @property
+    def beyond(self) -> bool:
+        """Whether some parts aren't in the broadcast."""
+        return self.here < self.buckets
 
 
 _BLOCK = "kind int, bucket long, keys binary, counts binary"
@@ -432,86 +485,49 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     order = np.argsort(names)
     names, c = names[order], c[order]
 
-    contexts = staged(merged.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_merge_contexts, "bucket long, keys binary, size binary, taken binary"))
-    frequent = np.unique(np.r_[_mix((names >> U(32)) + _M2), _mix(np.array([START >> U(32)], U) + _M2)])
-    shared_names = spark.sparkContext.broadcast(frequent)
-
-    def unpacked(batches, of_frequent: bool):
-        for b in batches:
-            for i in range(b.num_rows):
-                key, size_, taken = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((0, U), (1, np.float64), (2, np.float64)))
-                on = np.isin(key, shared_names.value) == of_frequent
-                yield arrow(context=_as_long(key[on]), size=size_[on], taken=taken[on])
-
-    kind = "context long, size double, taken double"
-    known = contexts.select("keys", "size", "taken").mapInArrow(lambda it: unpacked(it, True), kind).toArrow()  # ``vocabulary`` + 1 rows at most
-    mine, mass = known.column("context").to_numpy().view(U), np.stack([known.column("size").to_numpy(), known.column("taken").to_numpy()], 1)
-    order = np.argsort(mine)
-    mine, mass = mine[order], mass[order]
-
-    # does all fit in the filter?  Else the bigrams of the lowest levels, and rare contexts, are joined
-    per_level = _histogram(pair_blocks)
-    rare = contexts.select("keys", "size", "taken").mapInArrow(lambda it: unpacked(it, False), kind)
-    entries = contexts.select("keys", "size", "taken").mapInArrow(lambda it: _context_blocks(unpacked(it, False), buckets), f"{_BLOCK}, entries long, levels long")
-    rare_blocks = staged(entries.groupBy("bucket").applyInArrow(_gather, "bucket long, keys binary, counts binary, entries long, levels long"))
-    total = rare_blocks.agg(F.sum("entries").alias("e"), F.sum("levels").alias("l")).first()
-    rare_bits = _bits_for(int(total.e or 0), int(total.l or 0)) + 128 * buckets
-    need = lambda q0: sum(_bits_for(k, k * q) for q, k in per_level.items() if q >= q0) + 128 * buckets
-    least_level, with_rare = 1, need(1) + rare_bits <= most_bits
-    if not with_rare:
-        while least_level < LEVELS and need(least_level) > most_bits:
-            least_level += 1
+    contexts = merged.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_merge_contexts, "bucket long, keys binary, size binary, taken binary")
+    entries = contexts.select("keys", "size", "taken").mapInArrow(lambda it: _context_blocks(it, buckets), _BLOCK)
 
     def pair_bits(batches):
         for b in batches:
             for i in range(b.num_rows):
-                key, level = np.frombuffer(b.column(1)[i].as_buffer(), U), levels(np.frombuffer(b.column(2)[i].as_buffer(), np.int64))
-                on = level >= least_level
-                yield _part(b.column(0)[i].as_py(), key[on], level[on])
-
-    def rare_bits_of(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                key = np.frombuffer(b.column(1)[i].as_buffer(), U)
-                yield _part(b.column(0)[i].as_py(), key, np.frombuffer(b.column(2)[i].as_buffer(), np.int64))
+                yield _part(b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_buffer(), U), levels(np.frombuffer(b.column(2)[i].as_buffer(), np.int64)))
 
     part = "bucket long, bits binary, size long"
-    pairs = _assembled(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part), buckets)
-    others = _assembled(rare_blocks.select("bucket", "keys", "counts").mapInArrow(rare_bits_of, part), buckets) if with_rare else Filter(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    rest = None
-    if not with_rare:
-
-        def below(batches):
-            for b in batches:
-                for i in range(b.num_rows):
-                    key, level = np.frombuffer(b.column(0)[i].as_buffer(), U), levels(np.frombuffer(b.column(1)[i].as_buffer(), np.int64))
-                    on = level < least_level
-                    yield arrow(key=_as_long(key[on]), level=level[on])
-
-        # contexts are quantised as the filter does it, so that the answer doesn't depend on where they are kept
-        rest = (pair_blocks.select("keys", "counts").mapInArrow(below, "key long, level long"), rare)
-    return Model(n, v, counts, spark.sparkContext.broadcast((names, c, mine, mass, (pairs.bits, pairs.base), (others.bits, others.base))), rest)
+    parts = staged(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part)), staged(entries.groupBy("bucket").applyInArrow(_context_part, part))
+    held = lambda most: sum(p.where(F.col("bucket") < most).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for p in parts)
+    here, need = buckets, held(buckets)
+    while need > most_bits and here:  # as many parts as there is room for
+        here = min(int(here * most_bits / need), here - 1)
+        need = held(here)
+    pairs, others = (_assembled(p.where(F.col("bucket") < here), here, buckets) for p in parts)
+    mine = np.unique(np.r_[_mix((names >> U(32)) + _M2), _mix(np.array([START >> U(32)], U) + _M2)])
+    size, taken, known = masses(others, mine)
+    if not known.all():  # ``vocabulary`` + 1 rows at most
+        asked = spark.createDataFrame([(int(x),) for x in mine[~known].view(np.int64)], "key long")
+        got = {r.key: (r.size, r.taken) for r in _probed_masses(asked, parts[1], buckets).collect()}
+        for i in np.flatnonzero(~known).tolist():
+            size[i], taken[i] = got[int(mine[i : i + 1].view(np.int64)[0])]
+    shared = spark.sparkContext.broadcast((names, c, mine, np.stack([size, taken], 1), (pairs.bits, pairs.base, buckets), (others.bits, others.base, buckets)))
+    return Model(n, v, counts, shared, parts, buckets, here)
 
 
 def _context_blocks(batches, buckets: int):
-    """Rare contexts as filter entries: each under two keys, for its total and for what its bigrams take."""
+    """Contexts as filter entries: each has a number for its total and one for what its bigrams take."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        context = b.column(0).to_numpy().view(U)
-        key = np.r_[context ^ _CONTEXT_COUNT, context ^ _CONTEXT_TAKEN]
-        level = np.r_[_fine_level(b.column(1).to_numpy()), _fine_level(b.column(2).to_numpy())]
-        order = np.argsort(key)
-        key, level = key[order], level[order]
-        got = _blocks(3, key, buckets, level)
-        ends = np.cumsum([0, *(len(x) // 8 for x in got.column(2).to_pylist())])
-        sums = [int(level[i:j].sum()) for i, j in zip(ends[:-1], ends[1:])]
-        yield arrow(**{name: got.column(i) for i, name in enumerate(got.schema.names)}, entries=np.diff(ends), levels=sums)
+        for i in range(b.num_rows):
+            context, size, taken = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((0, U), (1, np.float64), (2, np.float64)))
+            if not len(context):
+                continue
+            key, level = (np.concatenate(x) for x in zip(_digits(context ^ _CONTEXT_COUNT, _fine_level(size)), _digits(context ^ _CONTEXT_TAKEN, _fine_level(taken)), strict=True))
+            order = np.argsort(key)
+            got = _blocks(3, key[order], buckets, level[order])
+            for at in range(0, got.num_rows, AT_ONCE):
+                yield got.slice(at, AT_ONCE)
 
 
-def _gather(t: pa.Table) -> pa.Table:
-    total = lambda c: [sum(t.column(c).to_pylist())]
-    return pa.Table.from_batches([arrow(bucket=[t.column("bucket")[0].as_py()], keys=pa.array([_joined(t, "keys", U).tobytes()], pa.binary()), counts=pa.array([_joined(t, "counts", np.int64).tobytes()], pa.binary()), entries=total("entries"), levels=total("levels"))])
+def _context_part(t: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_part(t.column("bucket")[0].as_py(), _joined(t, "keys", U), _joined(t, "counts", np.int64))])
 
 
 def _part(bucket: int, key: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
@@ -520,13 +536,38 @@ def _part(bucket: int, key: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
     return arrow(bucket=[bucket], bits=pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), size=[len(bits)])
 
 
-def _assembled(parts: DataFrame, buckets: int) -> Filter:
-    """The filter of all parts; its size was checked against the bound, and one part at a time comes to the driver."""
-    got = sorted(((r.bucket, bytes(r.bits)) for r in staged(parts).toLocalIterator()), key=lambda x: x[0])
-    empty = np.packbits(np.zeros(64, bool)).tobytes()
-    by = dict(got)
-    found = [by.get(b, empty) for b in range(buckets)]
-    return Filter(np.frombuffer(b"".join(found), np.uint8), np.r_[0, np.cumsum([8 * len(x) for x in found])].astype(np.int64))
+#: A part without keys.
+_EMPTY = np.packbits(np.zeros(64, bool)).tobytes()
+
+
+def _assembled(parts: DataFrame, here: int, buckets: int) -> Filter:
+    """The filter of the first ``here`` parts; their size was checked against the bound, and one part at a time comes to the driver."""
+    by = {r.bucket: bytes(r.bits) for r in parts.toLocalIterator()}
+    found = [by.pop(b, _EMPTY) for b in range(here)]
+    return Filter(np.frombuffer(b"".join(found), np.uint8), np.r_[0, np.cumsum([8 * len(x) for x in found])].astype(np.int64), buckets)
+
+
+def _probed(asked: DataFrame, parts: DataFrame, buckets: int, read, fields: str) -> DataFrame:
+    """(key, fields) of distinct keys, read from the parts of their buckets: ``read`` takes a filter and keys and returns columns."""
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    def placed(batches):
+        for b in batches:
+            key = b.column(0).to_numpy()
+            yield arrow(key=key, bucket=_bucket(key.view(U), buckets).astype(np.int64))
+
+    def probe(keys: pa.Table, part: pa.Table) -> pa.Table:
+        raw = np.frombuffer(part.column("bits")[0].as_py() if part.num_rows else _EMPTY, np.uint8)
+        key = keys.column("key").to_numpy()
+        got = read(Filter(raw, np.array([0, 8 * len(raw)], np.int64)), key.view(U))
+        return pa.table({"key": key, **dict(zip(names, got, strict=True))})
+
+    left = asked.mapInArrow(placed, "key long, bucket long")
+    return left.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(probe, f"key long, {fields}")
+
+
+def _probed_masses(asked: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+    return _probed(asked, parts, buckets, lambda f, k: masses(f, k)[:2], "size double, taken double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -535,7 +576,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are the end alone; repeated rows and null ids stay; an empty table gives no row; columns
     other than doc_id and text are ignored.  A model of no text gives every token the same probability.
     """
-    n, v, shared, beyond = model.n, model.v, model.shared, model.rest is not None
+    n, v, shared, beyond = model.n, model.v, model.shared, model.beyond
     norm = math.log10(n + 0.1 * (v + 1))
 
     def step(batches):
@@ -556,14 +597,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             context = _mix(context_of(one) + _M2)
             place = contexts.find(context)
             total, used = size[place], taken[place]
+            away = level < 0  # what another part answers
             unknown = np.flatnonzero(place < 0)
-            if len(unknown) and len(others.base) > 1:
-                q = others.level(context[unknown] ^ _CONTEXT_COUNT, most=_FINE_LEVELS)
-                p = others.level(context[unknown] ^ _CONTEXT_TAKEN, most=_FINE_LEVELS)
-                both = (q > 0) & (p > 0)
-                total[unknown] = np.where(both, np.maximum(_fine_value(q), _fine_value(p)), 1.0)
-                used[unknown] = np.where(both, _fine_value(p), 0.0)
-            a = np.where((level > 0) & (used > 0), np.maximum(VALUES[level] - DISCOUNT, 0) / np.maximum(total, 1e-9), 0.0)
+            if len(unknown):
+                total[unknown], used[unknown], here = masses(others, context[unknown])
+                away[unknown[~here]] = True
+                total[unknown[~here]] = -1.0
+            a = np.where((level > 0) & (used > 0), np.maximum(VALUES[np.maximum(level, 0)] - DISCOUNT, 0) / np.maximum(total, 1e-9), 0.0)
             b = np.maximum(1 - used / np.maximum(total, 1e-9), 1e-3)
             back = np.empty(len(key), np.int64)
             back[order] = np.cumsum(first) - 1
@@ -571,7 +611,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             seen = at >= 0
             later = ~seen  # what needs a join
             if beyond:
-                later = later | (level == 0)[back] | (place < 0)[back]
+                later = later | away[back]
             s = np.where(later, 0.0, np.log10(np.minimum(a[back] + b[back] * uni[at], 1.0)))
             add = lambda x: np.add.reduceat(x, starts)
             left = np.flatnonzero(later)
@@ -580,7 +620,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             k = back[left]
             fields = {"token": _as_long(h[left]), "c": pa.array(np.where(at[left] >= 0, c[np.maximum(at[left], 0)] if len(c) else 0, -1), pa.int64()), "a": pa.array(a[k]), "b": pa.array(b[k])}
             if beyond:
-                fields |= {"key": _as_long(one[k]), "level": pa.array(level[k]), "context": _as_long(context[k]), "size": pa.array(np.where(place[k] >= 0, total[k], -1.0)), "taken": pa.array(used[k])}
+                fields |= {"key": _as_long(one[k]), "level": pa.array(level[k]), "context": _as_long(context[k]), "size": pa.array(total[k]), "taken": pa.array(used[k])}
             rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
             yield arrow(doc_id=part.column(0), n_tokens=sizes, n_top=add(seen.astype(np.int64)), base_top=add(np.where(seen, base[at], 0.0)), score_top=add(s), rest=rest)
 
@@ -591,7 +631,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     got = staged(got.withColumn("row", F.monotonically_increasing_id()))
     each = got.select("row", F.inline("rest"))
     if beyond:
-        each = _beyond(each, *model.rest)
+        each = _beyond(each, model)
     counts = model.counts.withColumnRenamed("n", "found")
     rare = each.where("c < 0").join(counts, "token", "left")
     uni = lambda k: (k + 0.1) / 10**norm
@@ -605,16 +645,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return got.join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("n_top") + some("known", 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_top") + some("logs", 0.0)).alias("base_score"), (F.col("score_top") + some("score", 0.0)).alias("score"))
 
 
-def _beyond(each: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``each`` with a and b from the tables of what the filter has no room for."""
-    fine = lambda x: F.pow(F.lit(_FINE), F.greatest(F.ceil(F.log(F.greatest(x, F.lit(1.0))) / math.log(_FINE) - 1e-9), F.lit(0)))
+def _beyond(each: DataFrame, model: Model) -> DataFrame:
+    """``each`` with a and b where parts that weren't broadcast have the answer; each key is probed once."""
+    pairs, contexts = model.parts
+    keys = each.where("level < 0").select("key").distinct()
+    found = _probed(keys, pairs, model.buckets, lambda f, k: (f.level(k),), "found long")
+    asked = each.where("size < 0").select(F.col("context").alias("key")).distinct()
+    other = _probed_masses(asked, contexts, model.buckets).select(F.col("key").alias("context"), F.col("size").alias("s"), F.col("taken").alias("t"))
+    each = each.join(found, "key", "left").join(other, "context", "left")
+    level = F.when(F.col("level") < 0, F.col("found")).otherwise(F.col("level"))
+    used, total = (F.when(F.col("size") < 0, F.col(x)).otherwise(F.col(y)) for x, y in (("t", "taken"), ("s", "size")))
+    each = each.select("row", "token", "c", level.alias("level"), used.alias("used"), F.greatest(total, F.lit(1e-9)).alias("total"))
     value = F.element_at(F.array(*[F.lit(float(x)) for x in VALUES]), (F.col("level") + 1).cast("int"))
-    each = each.join(pairs.withColumnRenamed("level", "found"), "key", "left").withColumn("level", F.coalesce("found", "level")).drop("found")
-    other = contexts.select("context", fine(F.col("size")).alias("s"), fine(F.col("taken")).alias("t"))
-    each = each.join(other, "context", "left").withColumn("own", F.col("size") >= 0)
-    used = F.when(F.col("own"), F.col("taken")).otherwise(F.coalesce("t", F.lit(0.0)))
-    total = F.when(F.col("own"), F.col("size")).otherwise(F.coalesce(F.greatest("s", "t"), F.lit(1.0)))
-    each = each.withColumn("used", used).withColumn("total", F.greatest(total, F.lit(1e-9)))
     a = F.when((F.col("level") > 0) & (F.col("used") > 0), F.greatest(value - DISCOUNT, F.lit(0.0)) / F.col("total")).otherwise(0.0)
     return each.select("row", "token", "c", a.alias("a"), F.greatest(1 - F.col("used") / F.col("total"), F.lit(1e-3)).alias("b"))
 
