@@ -46,7 +46,7 @@ FIRST, LATER = 10, 5
 #: Bound of the broadcast filter in bits (128 MB).
 MOST_BITS = 1 << 30
 #: Text that one bucket of hashes stands for, text that is looked at in one step, and tokens that a task counts at a time.
-BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 19, 1 << 21
+BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 19, 1 << 20
 #: Blocks that go to Spark at a time.
 AT_ONCE = 16
 #: Words up to so many bytes are hashed together; longer ones one by one.
