@@ -7,8 +7,10 @@ view labels the unlabelled documents of which it is sure, and hands *all* of the
 the other (Blum and Mitchell, 1998), copies of a text once.  They reach the other view
 as sums: each step adds the gradient and the curvature of all rows, summed over
 the cluster, to those of the labelled rows, weighted so that in all they count a quarter of
-what the labelled rows do.  Both views are then calibrated on labelled rows that
-neither was fitted on, and combined into one probability for every document.
+what the labelled rows do.  A view keeps what a round taught it only if labelled rows that
+neither was fitted on are told apart better with it; when neither gains, the exchange ends.
+Both views are then calibrated on those rows and combined into one probability for every
+document.
 """
 
 from __future__ import annotations
@@ -267,6 +269,28 @@ class Model:
         return 1 / (1 + F.exp(-clip(F.lit(self.mix[0]) + clip(self.content.logit()) * self.mix[1] + clip(self.metadata.logit()) * self.mix[2])))
 
 
+def _loss(views: dict[str, View], x: dict[str, np.ndarray], y: np.ndarray) -> float:
+    """Mean log loss of the calibrated combination of both views."""
+    z = np.stack([np.clip(views[v].of(x[v]), -30, 30) for v in "cm"], 1)
+    w, b = _fit(z, y, pull=0.1)
+    return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w + b)).mean())
+
+
+def _gained(learners: dict[str, Learner], before: dict[str, np.ndarray], x: dict[str, np.ndarray], y: np.ndarray) -> bool:
+    """Of a round's weights and those before it, keeps for each view those with which labelled rows are told apart best; whether any are new."""
+    after = {v: x_.beta for v, x_ in learners.items()}
+    best, least = frozenset(), None
+    for new in (frozenset(), frozenset("c"), frozenset("m"), frozenset("cm")):
+        for v, x_ in learners.items():
+            x_.beta = after[v] if v in new else before[v]
+        loss = _loss({v: x_.view(v) for v, x_ in learners.items()}, x, y)
+        if least is None or loss < least - 1e-9:
+            best, least = new, loss
+    for v, x_ in learners.items():
+        x_.beta = after[v] if v in best else before[v]
+    return bool(best)
+
+
 def _one_label(labels: DataFrame) -> DataFrame:
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     return one.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("doc_id", "y")
@@ -301,10 +325,13 @@ def fit(feats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int =
     prior = math.log(y[~held].sum() / (1 - y[~held]).sum())
     for _ in range(rounds):
         givers = {v: x_.view(v) for v, x_ in learners.items()}
+        before = {v: x_.beta for v, x_ in learners.items()}
         for _ in range(STEPS):
             handed = _handed(free, givers, learners, prior)
             for v, (grad, hess, n) in handed.items():
                 learners[v].step(grad, hess, min(1.0, HANDED * len(learners[v].y) / max(n, 1)))
+        if held.any() and not _gained(learners, before, {v: x[v][held] for v in "cm"}, y[held]):
+            break
     made = {v: x_.view(v) for v, x_ in learners.items()}
     train = x
     cal = held if held.any() else np.ones(len(y), bool)
