@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,18 @@ def bounded(df: DataFrame, key, rows: int) -> DataFrame:
     return df.where(slot < edge)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Within it, what runs sends so many rows at a time to Python, so that neither side holds much text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def pieces(batches, column: str = "text"):
     """Slices of Arrow batches that hold few enough rows to become Python objects, with the text column as a list."""
     for batch in batches:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow, crc_bucket, staged, table
+from ._base import arrow, crc_bucket, small_batches, staged, table
 
 #: Bound of the table of frequent tokens that workers get as a whole; rarer tokens' counts are joined.
 VOCABULARY = 1 << 18
@@ -456,7 +456,8 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     text = docs.select(F.col("text").cast("string").alias("text"))
     size = text.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     buckets = max(-(-int(size) // BUCKET_BYTES), 1)
-    merged = staged(text.mapInArrow(_counter(buckets), _BLOCK).groupBy("kind", "bucket").applyInArrow(_merge(buckets), f"{_BLOCK}, {_TOTALS}"))
+    with small_batches(spark):
+        merged = staged(text.mapInArrow(_counter(buckets), _BLOCK).groupBy("kind", "bucket").applyInArrow(_merge(buckets), f"{_BLOCK}, {_TOTALS}"))
     token_blocks, pair_blocks = merged.where("kind = 0"), merged.where("kind = 1")
     sums = token_blocks.agg(F.sum("types").alias("v"), F.sum("total").alias("n")).first()
     n, v = int(sums.n or 0), int(sums.v or 0)
@@ -628,7 +629,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = src.mapInArrow(step, f"doc_id long, n_tokens long, n_top long, base_top double, score_top double, rest array<struct<token:bigint,c:bigint,a:double,b:double{more}>>")
     # the row number is fixed by writing the table
-    got = staged(got.withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        got = staged(got.withColumn("row", F.monotonically_increasing_id()))
     each = got.select("row", F.inline("rest"))
     if beyond:
         each = _beyond(each, model)
