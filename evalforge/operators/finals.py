@@ -101,17 +101,18 @@ def add_final(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -
     return spark.createDataFrame([(n, spark.read.parquet(f"{root}/rolled_up/{n}").count()) for n in names], "name string, rows long")
 
 
-def primary_analysis(rows: DataFrame, runs: DataFrame, constraints: objectives.Constraints, ranges: Mapping[str, tuple[float, float]], reference: list[float], treatment: str, comparisons: list[str], seeds: list[int], replicates: int = 2000, seed: int = 0) -> dict[str, DataFrame]:
+def primary_analysis(rows: DataFrame, runs: DataFrame, constraints: objectives.Constraints, ranges: Mapping[str, tuple[float, float]], reference: list[float], treatment: str, comparisons: list[str], seeds: list[int], replicates: int = 2000, seed: int = 0, token_bound: float | None = None) -> dict[str, DataFrame]:
     """The final analysis: overlapping executions once, bounds of all objectives, fronts of all runs against the pooled one, and contrasts of their volumes.
 
-    ``rows``: final outcomes with role and execution_group; ``runs``: (method_id, search_seed, candidate_id).
+    ``rows``: final outcomes with role and execution_group; ``runs``: (method_id, search_seed, candidate_id).  Too few
+    blocks for bounds of the tokens need the configuration's ``token_bound``; without one they are an error.
     """
     problems = dedup.overlap_violations(rows)
     ledger.require_none(problems, "overlapping executions disagree")
     once = dedup.overlap_dedup(rows).withColumn("split", F.col("role"))
     pairs = objectives.pair_with_base(once.where("role <> 'diagnostic'"))
     points = objectives.maximised(objectives.objectives(pairs))
-    estimates = summaries(pairs, replicates, seed, token_bound=float("inf"))
+    estimates = summaries(pairs, replicates, seed, token_bound=token_bound)
     unit: dict[str, Column] = {}
     for i, (o, (low, high)) in enumerate(ranges.items(), 1):
         unit[f"v{i}"] = F.lit(0.0) if high <= low else (F.col(f"v{i}") - low) / (high - low)

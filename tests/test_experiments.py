@@ -465,3 +465,50 @@ def test_profiles(tmp_path):
     assert ledger.load_config(str(f), {"a.b": 9}, profile="quick")["a"] == {"b": 9, "c": 3}
     with pytest.raises(ledger.LedgerError):
         ledger.load_config(str(f), profile="none")
+
+
+@pytest.mark.parametrize("active", [(), ("accuracy", "accuracy"), ("accuracy", "speed"), ("Accuracy",)])
+def test_unknown_objectives(spark, active):
+    from evalforge.operators import objectives
+
+    with pytest.raises(ValueError, match="each once"):
+        objectives.maximised(spark.range(1), active)
+
+
+def test_some_objectives(spark):
+    from evalforge.operators import objectives
+
+    row = spark.createDataFrame([(0.5, 0.25, 9.0, 0.125)], "accuracy double, transfer double, token_cost double, regression double")
+    got = objectives.maximised(row, ("regression", "accuracy")).first()
+    assert (got.v1, got.v2) == (0.5, -0.125) and "v3" not in got.asDict()
+
+
+def test_what_a_harness_needs(spark):
+    """Whatever has the methods can stand in for a harness, a cache or a domain, and the runtime runs with them."""
+    from evalforge.sources import manifest
+
+    class Echo:
+        def evaluate(self, requests):
+            return requests.withColumn("correct", F.lit(True))
+
+    class Held:
+        def __init__(self):
+            self.rows = None
+
+        def get(self, keys):
+            return keys.limit(0) if self.rows is None else self.rows.join(keys, "key", "left_semi")
+
+        def put(self, rows):
+            self.rows = rows
+            return rows.count()
+
+    class Tasks:
+        def tasks(self, split):
+            return spark.createDataFrame([(split, "k1")], "split string, task_id string")
+
+    harness: manifest.Harness = Echo()
+    cache: manifest.EvaluationCache = Held()
+    domain: manifest.DomainAdapter = Tasks()
+    got = harness.evaluate(domain.tasks("heldout").withColumnRenamed("task_id", "key"))
+    assert cache.get(got.select("key")).count() == 0 and cache.put(got) == 1
+    assert cache.get(got.select("key")).first().correct is True
