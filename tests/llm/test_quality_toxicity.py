@@ -110,3 +110,26 @@ def test_long_texts_and_clashing_names(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 81
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
     assert quality.score(docs, labels).count() == 81 and quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_exchange_is_kept_only_if_it_helps():
+    """Of a round's weights, each view keeps those with which held rows are told apart best."""
+    r = np.random.default_rng(1)
+    y = (r.random(300) < 0.5).astype(float)
+    x = {"c": np.column_stack([y + r.normal(0, 0.6, 300), r.normal(size=300)]), "m": np.column_stack([y + r.normal(0, 1.5, 300)])}
+
+    def learners():
+        return {v: quality.Learner.start(x[v][:150], y[:150]) for v in "cm"}
+
+    held = {v: x[v][150:] for v in "cm"}
+    for spoiled, better in ((("c",), ()), (("m",), ()), (("c", "m"), ()), ((), ("c",)), (("m",), ("c",))):
+        own = learners()
+        good = {v: l.beta for v, l in own.items()}
+        noise = {v: r.normal(size=len(b)) * 3 for v, b in good.items()}
+        before = {v: noise[v] if v in better else good[v] for v in "cm"}
+        for v, l in own.items():
+            l.beta = noise[v] if v in spoiled else good[v]
+        assert quality._gained(own, before, held, y[150:]) == bool(better)
+        for v in "cm":
+            want = good[v]
+            assert own[v].beta is want or (own[v].beta == want).all()
