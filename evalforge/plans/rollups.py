@@ -1,4 +1,4 @@
-"""Queries over a roll-up of runs that are derived from ``lineitem`` and ``orders``, some of them not what they say."""
+"""Queries over a roll-up of runs that are derived from ``lineitem`` and ``orders``, some of them not what they say, and over configurations made of ``customer``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rollup
+from ..operators import configrules, rollup
+from ..operators.configrules import Rule
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,3 +99,27 @@ def _ledger(part: rollup.Ledger, spark, sf) -> DataFrame:
 merged_outcomes = partial(_ledger, rollup.OUTCOMES)
 merged_outcomes.__name__, merged_outcomes.__doc__ = "rollup_outcomes", "The merged ledger of outcomes, with the runs that have each row."
 query(_ALL + "SELECT candidate_id, target_id, task_id, seed, min({'a': is_base, 'b': correct, 'c': input_tokens, 'd': output_tokens}).a AS is_base, min({'a': is_base, 'b': correct, 'c': input_tokens, 'd': output_tokens}).b AS correct, min({'a': is_base, 'b': correct, 'c': input_tokens, 'd': output_tokens}).c AS input_tokens, min({'a': is_base, 'b': correct, 'c': input_tokens, 'd': output_tokens}).d AS output_tokens, array_to_string(list_sort(list(DISTINCT method_id || '/' || search_seed)), ',') AS runs FROM o GROUP BY candidate_id, target_id, task_id, seed")(merged_outcomes)
+
+
+_RULES = [
+    Rule("total", "sum", "limits.total", terms=("limits.low", "limits.high")),
+    Rule("nation", "refers", "nation", other="nations"),
+    Rule("seeds", "unique", "seeds", low=3),
+    Rule("segment", "value", "segment", ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")),
+    Rule("limits.*", "range", "limits.*", ("integer",), low=0, high=9),
+    Rule("extra", "absent", "extra", when="segment", is_=("MACHINERY",)),
+]
+
+
+@query("""SELECT 'c' || c_custkey AS config_id, rule, "at", problem FROM customer JOIN (VALUES ('total', '', 'sum'), ('nation', '', 'refers'), ('seeds', '', 'unique'), ('segment', '', 'value'), ('limits.*', 'total', 'range'), ('extra', '', 'absent')) r(rule, "at", problem) ON CASE rule
+  WHEN 'total' THEN c_custkey % 11 = 0 WHEN 'nation' THEN c_nationkey >= 20 WHEN 'seeds' THEN c_custkey % 3 = c_custkey % 4 WHEN 'segment' THEN c_mktsegment NOT IN ('AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')
+  WHEN 'limits.*' THEN c_custkey % 7 + c_custkey % 5 + (c_custkey % 11 = 0)::INT > 9 ELSE c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0 END""")
+def config_problems(spark, sf) -> DataFrame:
+    """What breaks the rules in a configuration for each customer."""
+    k = F.col("c_custkey")
+    total = k % 7 + k % 5 + (k % 11 == 0).cast("int")
+    config = F.struct((k % 7).alias("low"), (k % 5).alias("high"), total.alias("total")).alias("limits")
+    nations = F.struct(*[F.struct(F.lit(1).alias("known")).alias(f"n{i}") for i in range(20)]).alias("nations")
+    whole = F.to_json(F.struct(config, F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nation"), nations, F.array(k % 3, k % 4, F.lit(5).cast("long")).alias("seeds"), F.col("c_mktsegment").alias("segment"), F.when(k % 2 == 0, "x").alias("extra")))
+    configs = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("c"), k.cast("string")).alias("config_id"), whole.alias("json"))
+    return configrules.problems(configs, _RULES)
