@@ -16,8 +16,6 @@ page has one vote for each host, and a busy host is one row for each host that i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
