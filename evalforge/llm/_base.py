@@ -105,6 +105,18 @@ def small_batches(spark: SparkSession, rows: int = 1024):
         spark.conf.set(key, old)
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Within it, a write deletes its shuffle files as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def pieces(batches, column: str = "text"):
     """Slices of Arrow batches that hold few enough rows to become Python objects, with the text column as a list."""
     for batch in batches:

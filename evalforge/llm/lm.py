@@ -7,9 +7,10 @@ each of 1..q, and its level is read back by probing 1, 2, .. until a probe fails
 (Talbot and Osborne, 2007).  What a context has in all, and what its bigrams take, is in
 the filter as well, in finer steps.  The filter consists of parts, one for a bucket of keys,
 that don't depend on any bound.  As many parts as a bound allows go to the workers as a
-broadcast; the keys of the others are probed where those parts lie, by a join on the
-bucket.  Frequent tokens' counts, and what the filter says of them as contexts, are broadcast
-up to another bound.  Both bounds decide where an answer is looked up, never what it is.
+broadcast; the others are asked where they lie.  Then texts are dealt into chunks, each asks
+once for what it doesn't know, in sorted blocks, one for each bucket, and gets blocks of
+answers back.  Frequent tokens' counts, and what the filter says of them as contexts, are
+broadcast up to another bound.  Both bounds decide where an answer is looked up, never what it is.
 
 The model is that of all bigrams that occur at least ``LEAST`` times, at any size of
 the corpus; a context keeps for the unigrams all that its bigrams don't take, so no
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow, crc_bucket, small_batches, staged, table
+from ._base import arrow, crc_bucket, small_batches, staged, table, tidy_shuffles
 
 #: Bound of the table of frequent tokens that workers get as a whole; rarer tokens' counts are joined.
 VOCABULARY = 1 << 18
@@ -49,6 +50,8 @@ MOST_BITS = 1 << 30
 BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 19, 1 << 20
 #: Blocks that go to Spark at a time.
 AT_ONCE = 16
+#: Text that asks together where the filter isn't broadcast whole.
+CHUNK_BYTES = 1 << 23
 #: Words up to so many bytes are hashed together; longer ones one by one.
 SHORT = 64
 U = np.uint64
@@ -290,11 +293,20 @@ def _fine_of(f: Filter, key: np.ndarray) -> np.ndarray:
     return np.where(low > 0, np.maximum(out, 1), low)
 
 
+def _grades(f: Filter, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fine levels of contexts: in all, and taken by bigrams."""
+    return _fine_of(f, context ^ _CONTEXT_COUNT), _fine_of(f, context ^ _CONTEXT_TAKEN)
+
+
+def _masses_of(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = (q > 0) & (p > 0)
+    return np.where(both, np.maximum(_fine_value(q), _fine_value(p)), 1.0), np.where(both, _fine_value(p), 0.0)
+
+
 def masses(f: Filter, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(in all, taken by bigrams, whether their part is here) of contexts as the filter has them; 1 and 0 for those that it doesn't."""
-    q, p = _fine_of(f, context ^ _CONTEXT_COUNT), _fine_of(f, context ^ _CONTEXT_TAKEN)
-    both = (q > 0) & (p > 0)
-    return np.where(both, np.maximum(_fine_value(q), _fine_value(p)), 1.0), np.where(both, _fine_value(p), 0.0), q >= 0
+    q, p = _grades(f, context)
+    return *_masses_of(q, p), q >= 0
 
 
 class Vocabulary:
@@ -335,6 +347,8 @@ class Model:
     n: int
     v: int
     counts: DataFrame
+    #: (bucket, keys, counts) of all tokens, in sorted blocks.
+    tokens: DataFrame
     shared: object
     #: (bucket, bits, size) of the bigrams' filter, and of the contexts'.
     parts: tuple[DataFrame, DataFrame]
@@ -456,7 +470,7 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     text = docs.select(F.col("text").cast("string").alias("text"))
     size = text.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     buckets = max(-(-int(size) // BUCKET_BYTES), 1)
-    with small_batches(spark):
+    with small_batches(spark), tidy_shuffles(spark):
         merged = staged(text.mapInArrow(_counter(buckets), _BLOCK).groupBy("kind", "bucket").applyInArrow(_merge(buckets), f"{_BLOCK}, {_TOTALS}"))
     token_blocks, pair_blocks = merged.where("kind = 0"), merged.where("kind = 1")
     sums = token_blocks.agg(F.sum("types").alias("v"), F.sum("total").alias("n")).first()
@@ -495,7 +509,8 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
                 yield _part(b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_buffer(), U), levels(np.frombuffer(b.column(2)[i].as_buffer(), np.int64)))
 
     part = "bucket long, bits binary, size long"
-    parts = staged(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part)), staged(entries.groupBy("bucket").applyInArrow(_context_part, part))
+    with tidy_shuffles(spark):
+        parts = staged(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part)), staged(entries.groupBy("bucket").applyInArrow(_context_part, part))
     held = lambda most: sum(p.where(F.col("bucket") < most).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for p in parts)
     here, need = buckets, held(buckets)
     while need > most_bits and here:  # as many parts as there is room for
@@ -510,7 +525,7 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
         for i in np.flatnonzero(~known).tolist():
             size[i], taken[i] = got[int(mine[i : i + 1].view(np.int64)[0])]
     shared = spark.sparkContext.broadcast((names, c, mine, np.stack([size, taken], 1), (pairs.bits, pairs.base, buckets), (others.bits, others.base, buckets)))
-    return Model(n, v, counts, shared, parts, buckets, here)
+    return Model(n, v, counts, token_blocks.select("bucket", "keys", "counts"), shared, parts, buckets, here)
 
 
 def _context_blocks(batches, buckets: int):
@@ -571,96 +586,198 @@ def _probed_masses(asked: DataFrame, parts: DataFrame, buckets: int) -> DataFram
     return _probed(asked, parts, buckets, lambda f, k: masses(f, k)[:2], "size double, taken double")
 
 
+class _Known:
+    """What was broadcast, and what it says of tokens."""
+
+    def __init__(self, value: tuple):
+        names, self.c, mine, mass, pair_parts, rare_parts = value
+        self.words, self.contexts = Vocabulary(names), Vocabulary(mine)
+        self.pairs, self.others = Filter(*pair_parts), Filter(*rare_parts)
+        self.size, self.taken = np.r_[mass[:, 0], 1.0], np.r_[mass[:, 1], 0.0]
+
+    def of(self, h: np.ndarray, sizes: np.ndarray) -> _Seen:
+        """What it says of the tokens ``h`` of texts of these sizes."""
+        key = bigrams(h, sizes)
+        order = np.argsort(key)
+        sorted_ = key[order]
+        first = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        one = sorted_[first]
+        context = _mix(context_of(one) + _M2)
+        place = self.contexts.find(context)
+        total, used = self.size[place], self.taken[place]
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            total[unknown], used[unknown], here = masses(self.others, context[unknown])
+            total[unknown[~here]] = -1.0
+        back = np.empty(len(key), np.int64)
+        back[order] = np.cumsum(first) - 1
+        return _Seen(self.words.find(h), one, back, self.pairs.level(one), context, total, used)
+
+
+#: The last of a worker process: the broadcast's value, and what was made of it.
+_last: list = [None, None]
+
+
+def _known(shared) -> _Known:
+    value = shared.value
+    if _last[0] is not value:
+        _last[:] = value, _Known(value)
+    return _last[1]
+
+
+@dataclass
+class _Seen:
+    """Places of tokens in the vocabulary (-1: not in it), their distinct bigrams, and of each token the place of its bigram.
+
+    Of each bigram: its level (-1: another part has it), its context, and that one's masses (total -1: likewise).
+    """
+
+    at: np.ndarray
+    one: np.ndarray
+    back: np.ndarray
+    level: np.ndarray
+    context: np.ndarray
+    total: np.ndarray
+    used: np.ndarray
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each bigram, the probability that the filter gives it, and what is left for unigrams in its context."""
+        a = np.where((self.level > 0) & (self.used > 0), np.maximum(VALUES[np.maximum(self.level, 0)] - DISCOUNT, 0) / np.maximum(self.total, 1e-9), 0.0)
+        return a, np.maximum(1 - self.used / np.maximum(self.total, 1e-9), 1e-3)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10 of the whole text).
 
     Null and empty texts are the end alone; repeated rows and null ids stay; an empty table gives no row; columns
     other than doc_id and text are ignored.  A model of no text gives every token the same probability.
     """
-    n, v, shared, beyond = model.n, model.v, model.shared, model.beyond
-    norm = math.log10(n + 0.1 * (v + 1))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    got = _by_blocks(src, model) if model.beyond else _by_rows(src, model)
+    return got.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _norm(model: Model) -> float:
+    return math.log10(model.n + 0.1 * (model.v + 1))
+
+
+def _by_rows(src: DataFrame, model: Model) -> DataFrame:
+    """Scores where the whole filter is broadcast; rare tokens' counts are joined."""
+    norm, shared = _norm(model), model.shared
 
     def step(batches):
-        names, c, mine, mass, pair_parts, rare_parts = shared.value
-        words, contexts = Vocabulary(names), Vocabulary(mine)
-        pairs, others = Filter(*pair_parts), Filter(*rare_parts)
-        base = np.r_[np.log10(c + 0.1), -1.0] - norm  # the last: a token that was never seen
+        known = _known(shared)
+        base = np.r_[np.log10(known.c + 0.1), -1.0] - norm  # the last: a token that was never seen
         uni = 10.0**base
-        size, taken = np.r_[mass[:, 0], 1.0], np.r_[mass[:, 1], 0.0]
         for part, sizes, h in token_rows(batches):
-            at = words.find(h)
-            key = bigrams(h, sizes)
-            order = np.argsort(key)
-            sorted_ = key[order]
-            first = np.r_[True, sorted_[1:] != sorted_[:-1]]
-            one = sorted_[first]
-            level = pairs.level(one)
-            context = _mix(context_of(one) + _M2)
-            place = contexts.find(context)
-            total, used = size[place], taken[place]
-            away = level < 0  # what another part answers
-            unknown = np.flatnonzero(place < 0)
-            if len(unknown):
-                total[unknown], used[unknown], here = masses(others, context[unknown])
-                away[unknown[~here]] = True
-                total[unknown[~here]] = -1.0
-            a = np.where((level > 0) & (used > 0), np.maximum(VALUES[np.maximum(level, 0)] - DISCOUNT, 0) / np.maximum(total, 1e-9), 0.0)
-            b = np.maximum(1 - used / np.maximum(total, 1e-9), 1e-3)
-            back = np.empty(len(key), np.int64)
-            back[order] = np.cumsum(first) - 1
+            seen = known.of(h, sizes)
+            at, back, (a, b) = seen.at, seen.back, seen.shares()
             starts = np.cumsum(sizes) - sizes
-            seen = at >= 0
-            later = ~seen  # what needs a join
-            if beyond:
-                later = later | away[back]
-            s = np.where(later, 0.0, np.log10(np.minimum(a[back] + b[back] * uni[at], 1.0)))
+            found = at >= 0
+            s = np.where(found, np.log10(np.minimum(a[back] + b[back] * uni[at], 1.0)), 0.0)
             add = lambda x: np.add.reduceat(x, starts)
-            left = np.flatnonzero(later)
+            left = np.flatnonzero(~found)
             owner = np.searchsorted(starts, left, side="right") - 1
             offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
             k = back[left]
-            fields = {"token": _as_long(h[left]), "c": pa.array(np.where(at[left] >= 0, c[np.maximum(at[left], 0)] if len(c) else 0, -1), pa.int64()), "a": pa.array(a[k]), "b": pa.array(b[k])}
-            if beyond:
-                fields |= {"key": _as_long(one[k]), "level": pa.array(level[k]), "context": _as_long(context[k]), "size": pa.array(total[k]), "taken": pa.array(used[k])}
+            fields = {"token": _as_long(h[left]), "a": pa.array(a[k]), "b": pa.array(b[k])}
             rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-            yield arrow(doc_id=part.column(0), n_tokens=sizes, n_top=add(seen.astype(np.int64)), base_top=add(np.where(seen, base[at], 0.0)), score_top=add(s), rest=rest)
+            yield arrow(doc_id=part.column(0), n_tokens=sizes, n_top=add(found.astype(np.int64)), base_top=add(np.where(found, base[at], 0.0)), score_top=add(s), rest=rest)
 
-    more = ", key:bigint, level:bigint, context:bigint, size:double, taken:double" if beyond else ""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = src.mapInArrow(step, f"doc_id long, n_tokens long, n_top long, base_top double, score_top double, rest array<struct<token:bigint,c:bigint,a:double,b:double{more}>>")
+    got = src.mapInArrow(step, "doc_id long, n_tokens long, n_top long, base_top double, score_top double, rest array<struct<token:bigint,a:double,b:double>>")
     # the row number is fixed by writing the table
-    with small_batches(docs.sparkSession):
+    with small_batches(src.sparkSession):
         got = staged(got.withColumn("row", F.monotonically_increasing_id()))
-    each = got.select("row", F.inline("rest"))
-    if beyond:
-        each = _beyond(each, model)
-    counts = model.counts.withColumnRenamed("n", "found")
-    rare = each.where("c < 0").join(counts, "token", "left")
-    uni = lambda k: (k + 0.1) / 10**norm
-    prob = lambda k: F.log10(F.least(F.col("a") + F.col("b") * uni(k), F.lit(1.0)))
+    rare = got.select("row", F.inline("rest")).join(model.counts.withColumnRenamed("n", "found"), "token", "left")
     k = F.coalesce("found", F.lit(0))
-    late = rare.select("row", (k > 0).cast("long").alias("known"), F.log10(uni(k)).alias("logs"), prob(k).alias("score"))
-    if beyond:
-        late = late.unionByName(each.where("c >= 0").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("logs"), prob(F.col("c")).alias("score")))
+    uni = (k + 0.1) / 10**norm
+    late = rare.select("row", (k > 0).cast("long").alias("known"), F.log10(uni).alias("logs"), F.log10(F.least(F.col("a") + F.col("b") * uni, F.lit(1.0))).alias("score"))
     sums = late.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "logs", "score")])
     some = lambda c, zero: F.coalesce(c, F.lit(zero))
-    return got.join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("n_top") + some("known", 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_top") + some("logs", 0.0)).alias("base_score"), (F.col("score_top") + some("score", 0.0)).alias("score"))
-
-
-def _beyond(each: DataFrame, model: Model) -> DataFrame:
-    """``each`` with a and b where parts that weren't broadcast have the answer; each key is probed once."""
-    pairs, contexts = model.parts
-    keys = each.where("level < 0").select("key").distinct()
-    found = _probed(keys, pairs, model.buckets, lambda f, k: (f.level(k),), "found long")
-    asked = each.where("size < 0").select(F.col("context").alias("key")).distinct()
-    other = _probed_masses(asked, contexts, model.buckets).select(F.col("key").alias("context"), F.col("size").alias("s"), F.col("taken").alias("t"))
-    each = each.join(found, "key", "left").join(other, "context", "left")
-    level = F.when(F.col("level") < 0, F.col("found")).otherwise(F.col("level"))
-    used, total = (F.when(F.col("size") < 0, F.col(x)).otherwise(F.col(y)) for x, y in (("t", "taken"), ("s", "size")))
-    each = each.select("row", "token", "c", level.alias("level"), used.alias("used"), F.greatest(total, F.lit(1e-9)).alias("total"))
-    value = F.element_at(F.array(*[F.lit(float(x)) for x in VALUES]), (F.col("level") + 1).cast("int"))
-    a = F.when((F.col("level") > 0) & (F.col("used") > 0), F.greatest(value - DISCOUNT, F.lit(0.0)) / F.col("total")).otherwise(0.0)
-    return each.select("row", "token", "c", a.alias("a"), F.greatest(1 - F.col("used") / F.col("total"), F.lit(1e-3)).alias("b"))
+    return got.join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("n_top") + some("known", 0)).alias("n_known"), (F.col("base_top") + some("logs", 0.0)).alias("base_score"), (F.col("score_top") + some("score", 0.0)).alias("score"))
+
+
+def _tokens_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each row, hashes of all) of a table of texts."""
+    steps = [(sizes, h) for _, sizes, h in token_rows(t.select(["text"]).to_batches())]
+    return tuple(np.concatenate(x) for x in zip(*steps, strict=True))
+
+
+def _by_blocks(src: DataFrame, model: Model) -> DataFrame:
+    """Scores where parts of the filter aren't broadcast: a chunk of texts asks for each token, bigram and context once.
+
+    Questions and answers are sorted blocks, a row for each chunk and bucket, so that what is moved is the text, eight
+    bytes for each distinct question of a chunk, and a byte for each answer on a bigram; no token becomes a row.
+    """
+    norm, buckets, shared = _norm(model), model.buckets, model.shared
+    size = src.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    chunks = max(-(-int(size) // CHUNK_BYTES), 1)
+    dealt = src.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+
+    def asked(seen: _Seen, h: np.ndarray):
+        """What a chunk has to ask: tokens (kind 0), bigrams (1), contexts (2), in order."""
+        return np.unique(h[seen.at < 0]), seen.one[seen.level < 0], np.unique(seen.context[seen.total < 0])
+
+    def ask(t: pa.Table) -> pa.Table:
+        sizes, h = _tokens_of(t)
+        blocks = [_blocks(kind, key, buckets, np.zeros(0, np.uint8)).drop_columns("counts") for kind, key in enumerate(asked(_known(shared).of(h, sizes), h))]
+        out = pa.Table.from_batches(blocks)
+        return out.append_column("chunk", pa.array([t.column("chunk")[0].as_py()] * len(out), pa.int64()))
+
+    def answer(keys: pa.Table, have: pa.Table) -> pa.Table:
+        if not keys.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in (("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("found", pa.binary()))})
+        kind = keys.column("kind")[0].as_py()
+        a, b = (have.column(n)[0].as_py() if have.num_rows else None for n in ("a", "b"))
+        if kind == 0:
+            names, counts = np.frombuffer(a or b"", U), np.frombuffer(b or b"", np.int64)
+        else:
+            bits = np.frombuffer(a if a is not None else _EMPTY, np.uint8)
+            part = Filter(bits, np.array([0, 8 * len(bits)], np.int64))
+        out = []
+        for raw in keys.column("keys"):
+            key = np.frombuffer(raw.as_buffer(), U)
+            if kind == 0:
+                at = np.minimum(np.searchsorted(names, key), max(len(names) - 1, 0))
+                found = np.where(names[at] == key, counts[at], 0) if len(names) else np.zeros(len(key), np.int64)
+            elif kind == 1:
+                found = part.level(key).astype(np.uint8)
+            else:
+                found = np.stack(_grades(part, key), 1).astype(np.int16)
+            out.append(found.tobytes())
+        return pa.table({"chunk": keys.column("chunk"), "kind": keys.column("kind"), "bucket": keys.column("bucket"), "found": pa.array(out, pa.binary())})
+
+    def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, h = _tokens_of(t)
+        known = _known(shared)
+        seen = known.of(h, sizes)
+        questions = asked(seen, h)
+        got = {0: [], 1: [], 2: []}
+        for kind, bucket, found in sorted(zip(*(answers.column(n).to_pylist() for n in ("kind", "bucket", "found")), strict=True)):
+            got[kind].append(found)
+        counts, level, grades = (np.frombuffer(b"".join(got[k]), t) for k, t in ((0, np.int64), (1, np.uint8), (2, np.int16)))
+        grades = grades.reshape(-1, 2)
+        if any(len(q) != len(x) for q, x in zip(questions, (counts, level, grades), strict=True)):
+            raise ValueError("the texts to score must be the same each time they are read")
+        seen.level[seen.level < 0] = level
+        away = np.flatnonzero(seen.total < 0)
+        seen.total[away], seen.used[away] = (x[np.searchsorted(questions[2], seen.context[away])] for x in _masses_of(grades[:, 0], grades[:, 1]))
+        rare = np.flatnonzero(seen.at < 0)
+        n = np.r_[known.c, 0][seen.at]
+        n[rare] = counts[np.searchsorted(questions[0], h[rare])]
+        logs = np.log10(n + 0.1) - norm
+        a, b = seen.shares()
+        p = np.log10(np.minimum(a[seen.back] + b[seen.back] * 10.0**logs, 1.0))
+        add = lambda x: np.add.reduceat(x, np.cumsum(sizes) - sizes)
+        return pa.table({"doc_id": t.column("doc_id"), "n_tokens": sizes, "n_known": add((n > 0).astype(np.int64)), "base_score": add(logs), "score": add(p)})
+
+    questions = dealt.groupBy("chunk").applyInArrow(ask, "kind int, bucket long, keys binary, chunk long")
+    table_of = lambda kind, df, a, b: df.select(F.lit(kind).alias("kind"), "bucket", F.col(a).alias("a"), b.alias("b"))
+    none = F.lit(None).cast("binary")
+    have = table_of(0, model.tokens, "keys", F.col("counts")).unionByName(table_of(1, model.parts[0], "bits", none)).unionByName(table_of(2, model.parts[1], "bits", none))
+    with tidy_shuffles(src.sparkSession):  # the texts are shuffled again below: then the questions are gone
+        answers = staged(questions.groupBy("kind", "bucket").cogroup(have.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, bucket long, found binary"))
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evalforge.llm import lm
+from evalforge.llm import _base, lm
 
 
 def toks(t):
@@ -162,6 +163,22 @@ def test_bounds_change_nothing(spark, monkeypatch):
     assert len(seen) >= 3 and min(seen)[0] == 0
 
 
+def test_little_is_written_beyond_the_broadcast(spark, monkeypatch):
+    """Where no part of the filter is broadcast, what scoring writes is less than the text, not a record for each token."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1 << 18)
+    rnd = random.Random(6)
+    texts = [" ".join(f"word{rnd.randrange(3000)}" for _ in range(250)) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    model = lm.fit(docs, 1000, 0)
+    before = _base.staged_now()
+    got = lm.score(docs, model)
+    assert got.count() == len(texts) and model.beyond
+    files = [f for path in _base._staged[before:] for f in pathlib.Path(path.removeprefix("file:")).rglob("*.parquet")]
+    assert 0 < sum(f.stat().st_size for f in files) < sum(map(len, texts))
+    shuffles = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert shuffles == "false"  # set within writes only
+
+
 def test_fine_levels_come_back():
     r = np.random.default_rng(2)
     context = np.unique(r.integers(0, 1 << 63, 20000).astype(np.uint64))
