@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: columnar, for tables that many branches of a query read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -125,3 +125,12 @@ def test_many_configurations(spark):
     got = found(spark, configs)
     assert {n for n, p in got.items() if p} == {f"c{i}" for i in range(0, 60, 7)}
     assert all(p == {"models.*.provider": {("small", "refers")}} for p in got.values() if p)
+
+
+def test_parsed_once(spark):
+    """Configurations are parsed once, whatever the number of rules; rules' kinds read what was parsed."""
+    df = spark.createDataFrame([("a", json.dumps({"x": {"y": 1, "z": [1, 1]}}))], "config_id string, json string")
+    got = configrules.problems(df, [Rule("r", "range", "x.*", low=2), Rule("u", "unique", "x.z"), Rule("s", "sum", "x.y", terms=("x.y", "x.y"))])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
+    assert {(r.rule, r["at"], r.problem) for r in got.collect()} == {("r", "y", "range"), ("r", "z", "range"), ("u", "", "unique"), ("s", "", "sum")}
