@@ -32,8 +32,8 @@ LENGTH, CLASSES, END_ID = 4096, 64, 2
 BLOCK_IDS = 3_000_000
 #: Rest lengths up to this are kept back to fill slack.
 SHORT = 512
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words that a worker remembers lately; as many older ones are kept, and forgotten if they don't come again.
+REMEMBERED = 300_000
 #: How this vocabulary's file splits a text (fixed values).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these code points are their own NFC form, are lower-cased code point by code point, and have plain white space only.
@@ -60,6 +60,7 @@ class Words(dict):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        self.older: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
@@ -70,15 +71,25 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids: list[int] = []
-        for p in _PIECE.findall(word):
-            if not p.isascii():
-                p = "".join(map(self.letters.__getitem__, p.encode()))
-            ids += [t.id for t in self.model.tokenize(p)]
-        out = self[word] = np.array(ids, self.kind).tobytes()
+        out = self.older.get(word)
+        if out is None:
+            pieces_ = [word] if word.isalpha() else _PIECE.findall(word)
+            out = self._piece(word) if pieces_ == [word] else b"".join(map(self._part, pieces_))
+        self[word] = out
         return out
 
+    def _part(self, piece: str) -> bytes:
+        """A piece of a longer word; often a word that is known."""
+        out = self.get(piece)
+        return self._piece(piece) if out is None else out
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+
     def _by_words(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind)
 

@@ -84,3 +84,16 @@ def test_packed(spark, tokenizer):
         assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         assert any(d == r.doc_id and x[r.start : r.start + r.length] == r.ids and len(x) == r.doc_tokens for d, x in ids)
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    """Words that come again and again aren't tokenised anew when a worker's memory is full; ids stay the tokenizer's."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    known = packing.Words(packing.default_tokenizer())
+    asked = []
+    inner = known.model
+    known.model = type("Counting", (), {"tokenize": lambda self, p: asked.append(p) or inner.tokenize(p)})()
+    texts = [f"often again, too x{i}y rare{i} équeê" for i in range(300)]
+    for t in texts:
+        assert (known.ids(t) == known._whole(t)).all()
+    assert known.plain and asked.count("often") == asked.count("again") == 1
