@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -444,16 +445,6 @@ def _merge(buckets: int):
     return merge
 
 
-def _merge_contexts(t: pa.Table) -> pa.Table:
-    """One bucket's blocks of contexts: total and taken mass of each that has bigrams."""
-    key = _joined(t, "keys", U)
-    mass = _joined(t, "counts", np.float64).reshape(-1, 2)
-    key, size, taken = _merged(key, mass[:, 0], mass[:, 1])
-    keep = taken > 0
-    key, size, taken = key[keep], np.maximum(size[keep], taken[keep]), taken[keep]
-    return pa.Table.from_batches([arrow(bucket=pa.array([t.column("bucket")[0].as_py()], pa.int64()), keys=pa.array([key.tobytes()], pa.binary()), size=pa.array([size.tobytes()], pa.binary()), taken=pa.array([taken.tobytes()], pa.binary()))])
-
-
 def _histogram(df: DataFrame) -> dict[int, int]:
     """Sum of the histograms of blocks; at most a few hundred grades."""
     got = df.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
@@ -500,8 +491,7 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     order = np.argsort(names)
     names, c = names[order], c[order]
 
-    contexts = merged.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_merge_contexts, "bucket long, keys binary, size binary, taken binary")
-    entries = contexts.select("keys", "size", "taken").mapInArrow(lambda it: _context_blocks(it, buckets), _BLOCK)
+    contexts = merged.where("kind = 2").select("bucket", "keys", "counts")
 
     def pair_bits(batches):
         for b in batches:
@@ -510,7 +500,7 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
 
     part = "bucket long, bits binary, size long"
     with tidy_shuffles(spark):
-        parts = staged(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part)), staged(entries.groupBy("bucket").applyInArrow(_context_part, part))
+        parts = staged(pair_blocks.select("bucket", "keys", "counts").mapInArrow(pair_bits, part)), staged(contexts.groupBy("bucket").applyInArrow(_context_part, part))
     held = lambda most: sum(p.where(F.col("bucket") < most).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for p in parts)
     here, need = buckets, held(buckets)
     while need > most_bits and here:  # as many parts as there is room for
@@ -528,22 +518,19 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, most_bits: int = MOST_BIT
     return Model(n, v, counts, token_blocks.select("bucket", "keys", "counts"), shared, parts, buckets, here)
 
 
-def _context_blocks(batches, buckets: int):
-    """Contexts as filter entries: each has a number for its total and one for what its bigrams take."""
-    for b in batches:
-        for i in range(b.num_rows):
-            context, size, taken = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((0, U), (1, np.float64), (2, np.float64)))
-            if not len(context):
-                continue
-            key, level = (np.concatenate(x) for x in zip(_digits(context ^ _CONTEXT_COUNT, _fine_level(size)), _digits(context ^ _CONTEXT_TAKEN, _fine_level(taken)), strict=True))
-            order = np.argsort(key)
-            got = _blocks(3, key[order], buckets, level[order])
-            for at in range(0, got.num_rows, AT_ONCE):
-                yield got.slice(at, AT_ONCE)
-
-
 def _context_part(t: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([_part(t.column("bucket")[0].as_py(), _joined(t, "keys", U), _joined(t, "counts", np.int64))])
+    """One bucket's blocks of contexts to its part: each that has bigrams has a number for its total and one for what they take.
+
+    All entries of a context lie in its own bucket.  This is one step, for each Python step of a stage has processes of its
+    own, and executors keep them and their memory.
+    """
+    mass = _joined(t, "counts", np.float64).reshape(-1, 2)
+    key, size, taken = _merged(_joined(t, "keys", U), mass[:, 0], mass[:, 1])
+    keep = taken > 0
+    key, size, taken = key[keep], np.maximum(size[keep], taken[keep]), taken[keep]
+    entries = zip(_digits(key ^ _CONTEXT_COUNT, _fine_level(size)), _digits(key ^ _CONTEXT_TAKEN, _fine_level(taken)), strict=True)
+    part = _part(t.column("bucket")[0].as_py(), *(np.concatenate(x) for x in entries))
+    return pa.Table.from_batches([part.slice(0, min(len(key), 1))])
 
 
 def _part(bucket: int, key: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
@@ -614,15 +601,14 @@ class _Known:
         return _Seen(self.words.find(h), one, back, self.pairs.level(one), context, total, used)
 
 
-#: The last of a worker process: the broadcast's value, and what was made of it.
-_last: list = [None, None]
+#: What a worker process made of a broadcast; it goes as soon as Spark lets go of the broadcast.
+_made: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _known(shared) -> _Known:
-    value = shared.value
-    if _last[0] is not value:
-        _last[:] = value, _Known(value)
-    return _last[1]
+    if shared not in _made:
+        _made[shared] = _Known(shared.value)
+    return _made[shared]
 
 
 @dataclass

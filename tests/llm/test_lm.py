@@ -188,3 +188,55 @@ def test_fine_levels_come_back():
     f = lm.Filter(np.frombuffer(part.column(1)[0].as_py(), np.uint8), np.array([0, part.column(2)[0].as_py()]))
     got = lm._fine_of(f, context)
     assert (got >= q).all() and (got == q).mean() > 0.93 and (lm._fine_of(f, context ^ lm.U(1 << 62)) > 0).mean() < 0.005
+
+
+def python_steps(plan) -> list[int]:
+    """How many Python steps each stage of a physical plan has."""
+    stages = []
+
+    def below(node) -> int:
+        name = node.nodeName()
+        inner = [node.initialPlan()] if name == "AdaptiveSparkPlan" else [node.children().apply(i) for i in range(node.children().size())]
+        n = sum(map(below, inner))
+        if "Exchange" in name:
+            stages.append(n)
+            return 0
+        return n + ("Arrow" in name or "Pandas" in name or "Python" in name)
+
+    stages.append(below(plan))
+    return stages
+
+
+@pytest.mark.parametrize("most_bits", [1 << 30, 2000])
+def test_one_python_step_a_stage(spark, monkeypatch, most_bits):
+    """Each Python step of a stage has processes of its own, and executors keep all of them: two steps take twice the memory."""
+    seen, write = [], lm.staged
+
+    def staged(df):
+        seen.extend(python_steps(df._jdf.queryExecution().executedPlan()))
+        return write(df)
+
+    monkeypatch.setattr(lm, "staged", staged)
+    _, docs = corpus(spark)
+    docs = docs.repartition(3).localCheckpoint()  # one partition alone needs no exchange
+    got = lm.score(docs, lm.fit(docs.where("doc_id < 150"), 5, most_bits))
+    seen.extend(python_steps(got._jdf.queryExecution().executedPlan()))
+    assert sum(seen) >= 6 and max(seen) == 1
+
+
+def test_memory_goes_with_the_broadcast(spark):
+    """A worker that Spark has told to let go of a broadcast holds nothing of it."""
+    import gc
+    import weakref
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    _, docs = corpus(spark)
+    shared = Shared(lm.fit(docs.where("doc_id < 150")).shared.value)
+    known = weakref.ref(lm._known(shared))
+    assert lm._known(shared) is known()
+    del shared
+    gc.collect()
+    assert known() is None
