@@ -49,6 +49,8 @@ FIRST, LATER = 10, 5
 MOST_BITS = 1 << 30
 #: Text that one bucket of hashes stands for, text that is looked at in one step, and tokens that a task counts at a time.
 BUCKET_BYTES, STEP_BYTES, HOLD = 1 << 22, 1 << 19, 1 << 20
+#: Keys that a filter looks up at a time, for each takes over a hundred bytes meanwhile.
+KEYS_AT_ONCE = 1 << 16
 #: Blocks that go to Spark at a time.
 AT_ONCE = 16
 #: Text that asks together where the filter isn't broadcast whole.
@@ -247,6 +249,9 @@ class Filter:
 
     def level(self, key: np.ndarray, most: int = LEVELS) -> np.ndarray:
         """Level of each key, by membership probes of 1, 2, ..; 0 if the first fails, -1 if its part isn't here."""
+        return np.concatenate([self._level(key[at : at + KEYS_AT_ONCE], most) for at in range(0, max(len(key), 1), KEYS_AT_ONCE)])
+
+    def _level(self, key: np.ndarray, most: int) -> np.ndarray:
         here = len(self.base) - 1
         part = _bucket(key, self.buckets or max(here, 1)).astype(np.int64)
         out = np.where(part < here, 0, -1)
@@ -584,11 +589,7 @@ class _Known:
 
     def of(self, h: np.ndarray, sizes: np.ndarray) -> _Seen:
         """What it says of the tokens ``h`` of texts of these sizes."""
-        key = bigrams(h, sizes)
-        order = np.argsort(key)
-        sorted_ = key[order]
-        first = np.r_[True, sorted_[1:] != sorted_[:-1]]
-        one = sorted_[first]
+        one, back = np.unique(bigrams(h, sizes), return_inverse=True)
         context = _mix(context_of(one) + _M2)
         place = self.contexts.find(context)
         total, used = self.size[place], self.taken[place]
@@ -596,8 +597,6 @@ class _Known:
         if len(unknown):
             total[unknown], used[unknown], here = masses(self.others, context[unknown])
             total[unknown[~here]] = -1.0
-        back = np.empty(len(key), np.int64)
-        back[order] = np.cumsum(first) - 1
         return _Seen(self.words.find(h), one, back, self.pairs.level(one), context, total, used)
 
 

@@ -240,3 +240,18 @@ def test_memory_goes_with_the_broadcast(spark):
     del shared
     gc.collect()
     assert known() is None
+
+
+def test_lookups_take_little_memory():
+    """What a lookup needs beside its answer doesn't grow with the number of keys."""
+    import tracemalloc
+
+    key = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 1 << 20).astype(np.uint64) << np.uint64(1))
+    part = lm._part(0, key[::2], np.full(len(key[::2]), 3))
+    found = lm.Filter(np.frombuffer(part.column(1)[0].as_py(), np.uint8), np.array([0, part.column(2)[0].as_py()]))
+    tracemalloc.start()
+    got = found.level(key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[::2] >= 3).all() and len(got) == len(key) and len(found.level(key[:0])) == 0
+    assert peak < 40 * len(key)
